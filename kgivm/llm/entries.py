@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from kgivm.llm.op1_curve_packing import op1_curve_packing
+from kgivm.llm.op2_ngram_jaccard_join import op2_ngram_jaccard_join
 from kgivm.llm.op6_token_counts import op6_token_counts
+from kgivm.llm.op7_repeated_bytes import op7_repeated_bytes
 from kgivm.llm.op8_token_files import op8_token_files
+from kgivm.llm.op9_quality_rules import op9_quality_rules
+from kgivm.llm.op10_decontamination import op10_decontamination
+
+FUNCTIONS = (
+    op1_curve_packing, op2_ngram_jaccard_join, op6_token_counts, op7_repeated_bytes, op8_token_files, op9_quality_rules, op10_decontamination,
+)
 
 
 def queries() -> dict:
     import corpus_pipeline
 
-    found = {f.__name__: f for f in (op1_curve_packing, op6_token_counts, op8_token_files)}
+    found = {f.__name__: f for f in FUNCTIONS}
     return found | {"pipeline": corpus_pipeline.run}
 
 
