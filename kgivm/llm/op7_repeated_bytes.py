@@ -120,8 +120,21 @@ def _contexts(marked: DataFrame, length: int, seed: int, kind: str) -> DataFrame
     return marked.mapInArrow(cut, f"rank long, doc {kind}, pos long, near int, far int, left int, ctx binary")
 
 
+def _later(states: DataFrame, groups: DataFrame, by: list[str], length: int) -> DataFrame:
+    """doc, start, end of the windows of all states but the first of each group."""
+    many = groups.where("n > 1").select(*by, F.col("first.doc").alias("fd"), F.col("first.pos").alias("fp"))
+    again = states.join(many, by).where(~(F.struct("doc", "pos").eqNullSafe(F.struct(F.col("fd").alias("doc"), F.col("fp").alias("pos")))))
+    return scratch.saved(again.select("doc", (F.col("pos") - F.col("far")).alias("start"), (F.col("pos") - F.col("near") + length).alias("end")))
+
+
+def _open(groups: DataFrame) -> DataFrame:
+    """The first states of groups that share their rank with another group."""
+    shared = groups.groupBy("rank").agg(F.count("*").alias("m")).where("m > 1").select("rank")
+    return groups.join(shared, "rank", "left_semi")
+
+
 def _round(states: DataFrame, width: int, was: int, length: int) -> tuple[DataFrame, DataFrame]:
-    """Cut each state's interval (``was`` wide, from ``base``) into intervals of ``width``; returns repeats and open states."""
+    """Cut each state's interval (``was`` wide, from ``base``) into intervals of ``width``; returns repeated windows and groups."""
     cuts = F.sequence(F.lit(0), F.lit(was - 1), F.lit(width))
     s = states.withColumn("base", F.explode(F.transform(cuts, lambda i: F.col("base") + i)))
     s = s.withColumn("top", F.col("base") + width - 1)
@@ -130,44 +143,40 @@ def _round(states: DataFrame, width: int, was: int, length: int) -> tuple[DataFr
     core = F.substring(F.col("ctx"), F.col("left") - F.col("base") + 1, F.lit(length - width + 1))
     begin, size = F.col("left") - F.col("top"), F.lit(length + width - 1)
     full = (begin >= 0) & (begin + size <= F.length("ctx"))
-    s = s.withColumn("rank", F.xxhash64("rank", "base", core))
-    s = s.withColumn("whole", F.when(full, F.xxhash64(F.substring(F.col("ctx"), begin + 1, size))).otherwise(F.xxhash64("doc", "pos", F.lit("edge"))))
-    at = F.struct("doc", "pos")
-    rest = F.struct("doc", "pos", "near", "far", "left", "ctx")
-    groups = scratch.saved(s.groupBy("rank", "whole", "base").agg(F.min(rest).alias("first"), F.count("*").alias("n")))
-    many = groups.where("n > 1").select("rank", "whole", "base", F.col("first.doc").alias("fd"), F.col("first.pos").alias("fp"))
-    again = s.join(many, ["rank", "whole", "base"]).where(~(at.eqNullSafe(F.struct(F.col("fd").alias("doc"), F.col("fp").alias("pos")))))
-    shared = groups.groupBy("rank").agg(F.count("*").alias("m")).where("m > 1").select("rank")
-    still = groups.join(shared, "rank", "left_semi").select("rank", "base", "first.*")
-    return again.select("doc", "pos", "near", "far"), still
+    whole = F.when(full, F.xxhash64(F.substring(F.col("ctx"), begin + 1, size))).otherwise(F.xxhash64("doc", "pos", F.lit("edge")))
+    # later rounds need no bytes beyond these, the last one none
+    skip = F.greatest(begin, F.lit(0))
+    rest = ["doc", "pos", "near", "far"] if width == 1 else ["doc", "pos", "near", "far", (F.col("left") - skip).alias("left"), F.substring(F.col("ctx"), skip + 1, begin + size - skip).alias("ctx")]
+    s = s.select(F.xxhash64("rank", "base", core).alias("rank"), whole.alias("whole"), "base", *rest)
+    groups = scratch.saved(s.groupBy("rank", "whole", "base").agg(F.min(F.struct(*s.columns[3:])).alias("first"), F.count("*").alias("n")))
+    return _later(s, groups, ["rank", "whole", "base"], length), groups
 
 
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, start, end: byte spans (they may overlap) of windows that also start earlier."""
+    spark = docs.sparkSession
     src = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
     kind = src.schema["doc"].dataType.simpleString()
-    span = length - seed + 1
     twice = _seeds(src, length, seed, True).groupBy("rank").agg(F.count("*").alias("m")).where("m > 1").select("rank")
     found = _seeds(src, length, seed, False).join(twice, "rank", "left_semi")
     found = scratch.saved(found.withColumn("whole", F.when(F.col("whole") == 0, F.xxhash64("doc", "pos", F.lit("edge"))).otherwise(F.col("whole"))))
     groups = scratch.saved(found.groupBy("rank", "whole").agg(F.min(F.struct("doc", "pos", "near", "far")).alias("first"), F.count("*").alias("n")))
-    many = groups.where("n > 1").select("rank", "whole", F.col("first.doc").alias("fd"), F.col("first.pos").alias("fp"))
-    again = found.join(many, ["rank", "whole"]).where(~(F.struct("doc", "pos").eqNullSafe(F.struct(F.col("fd").alias("doc"), F.col("fp").alias("pos")))))
-    done = [again.select("doc", "pos", "near", "far")]
-    shared = groups.groupBy("rank").agg(F.count("*").alias("m")).where("m > 1").select("rank")
-    open_ = groups.join(shared, "rank", "left_semi").select("rank", "first.*")
-    per_doc = open_.groupBy("doc").agg(F.collect_list(F.struct("pos", "near", "far", "rank")).alias("open"))
+    spans = _later(found, groups, ["rank", "whole"], length)
+    scratch.remove(spark, found)
+    per_doc = _open(groups).select("rank", "first.*").groupBy("doc").agg(F.collect_list(F.struct("pos", "near", "far", "rank")).alias("open"))
     marked = src.join(per_doc.withColumnRenamed("doc", "d"), F.col("doc").eqNullSafe(F.col("d"))).select("doc", "text", "open")
-    states = scratch.saved(_contexts(marked, length, seed, kind).withColumn("base", F.lit(0)))
-    was = span
+    held = scratch.saved(_contexts(marked, length, seed, kind).withColumn("base", F.lit(0)))
+    scratch.remove(spark, groups)
+    states, was = held, length - seed + 1
     for width in WIDTHS:
-        again, states = _round(states, width, was, length)
-        done.append(again)
-        was = width
-    spans = done[0]
-    for d in done[1:]:
-        spans = spans.unionByName(d)
-    return spans.select("doc", (F.col("pos") - F.col("far")).alias("start"), (F.col("pos") - F.col("near") + length).alias("end"))
+        again, groups = _round(states, width, was, length)
+        spans = spans.unionByName(again)
+        scratch.remove(spark, held)
+        held, was = groups, width
+        if width > 1:
+            states = _open(groups).select("rank", "base", "first.*")
+    scratch.remove(spark, held)
+    return spans
 
 
 def removed(docs: DataFrame, *, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
