@@ -258,8 +258,11 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, key: s
     reps = scratch.saved(named.groupBy("set").agg(F.min("doc").alias("rep"), F.max("n").alias("n")))
 
     lead = F.min("doc").over(Window.partitionBy("key"))
-    edges = scratch.saved(_keys(src.where("doc IS NOT NULL"), k, percent).select("doc", lead.alias("lead")).where("doc <> lead").distinct())
-    families = components(edges, "lead", "doc")
+    led = _keys(src.where("doc IS NOT NULL"), k, percent).select("doc", lead.alias("lead")).where("doc <> lead").distinct()
+    # a document points to its smallest leader, and that one to the others: few leaders, so few edges
+    led = scratch.saved(led.withColumn("top", F.min("lead").over(Window.partitionBy("doc"))))
+    edges = led.select("top", "doc").unionByName(led.select("top", F.col("lead").alias("doc"))).where("top <> doc").distinct()
+    families = components(edges, "top", "doc")
     members = families.withColumnRenamed("node", "doc").join(named.select("doc", "set"), "doc").select("set", F.col("component").alias("family")).distinct()
     members = scratch.saved(members.join(reps, "set").select("family", F.col("rep").alias("doc"), "n").distinct())
     odd = lambda salt: F.xxhash64("doc", F.lit(salt))
@@ -276,7 +279,8 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, key: s
     pivots = pivots.select("family", "doc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
     first = dealt.select("family", "doc", "chunk").unionByName(pivots).distinct()
     first = first.select(F.concat_ws(":", "family", "chunk").alias("grp"), "doc", F.lit(1).alias("side"), F.col("doc").alias("root"))
-    texts_ = src.where("doc IS NOT NULL")
+    # members grow with the corpus, so both sides are dealt out at every size
+    texts_ = src.where("doc IS NOT NULL").hint("merge")
     links = scratch.saved(_linked(first.join(texts_, "doc"), k, percent, kind))
 
     if not many.isEmpty():
