@@ -164,7 +164,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, seed: int = SEED, k
     spans = _later(found, groups, ["rank", "whole"], length)
     scratch.remove(spark, found)
     per_doc = _open(groups).select("rank", "first.*").groupBy("doc").agg(F.collect_list(F.struct("pos", "near", "far", "rank")).alias("open"))
-    marked = src.join(per_doc.withColumnRenamed("doc", "d"), F.col("doc").eqNullSafe(F.col("d"))).select("doc", "text", "open")
+    marked = src.join(per_doc.withColumnRenamed("doc", "d").hint("merge"), F.col("doc").eqNullSafe(F.col("d"))).select("doc", "text", "open")
     held = scratch.saved(_contexts(marked, length, seed, kind).withColumn("base", F.lit(0)))
     scratch.remove(spark, groups)
     states, was = held, length - seed + 1
@@ -190,7 +190,7 @@ def removed(docs: DataFrame, *, length: int = LENGTH, key: str = "doc_id", text:
     fused = spans.withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1))).withColumn("g", F.sum("new").over(w))
     fused = fused.groupBy("doc", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     per_doc = fused.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    joined = src.join(per_doc.withColumnRenamed("doc", "d"), F.col("doc").eqNullSafe(F.col("d")), "left").select("doc", "text", "starts", "ends")
+    joined = src.join(per_doc.withColumnRenamed("doc", "d").hint("merge"), F.col("doc").eqNullSafe(F.col("d")), "left").select("doc", "text", "starts", "ends")
 
     def strip(batches):
         for batch in batches:
