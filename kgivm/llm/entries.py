@@ -5,6 +5,7 @@ from __future__ import annotations
 from kgivm.llm.op1_curve_packing import op1_curve_packing
 from kgivm.llm.op2_ngram_jaccard_join import op2_ngram_jaccard_join
 from kgivm.llm.op3_pii import op3_pii
+from kgivm.llm.op4_secret_scan import op4_secret_scan
 from kgivm.llm.op5_html_extraction import op5_html_extraction
 from kgivm.llm.op6_token_counts import op6_token_counts
 from kgivm.llm.op7_repeated_bytes import op7_repeated_bytes
@@ -13,7 +14,7 @@ from kgivm.llm.op9_quality_rules import op9_quality_rules
 from kgivm.llm.op10_decontamination import op10_decontamination
 
 FUNCTIONS = (
-    op1_curve_packing, op2_ngram_jaccard_join, op3_pii, op5_html_extraction, op6_token_counts, op7_repeated_bytes, op8_token_files, op9_quality_rules, op10_decontamination,
+    op1_curve_packing, op2_ngram_jaccard_join, op3_pii, op4_secret_scan, op5_html_extraction, op6_token_counts, op7_repeated_bytes, op8_token_files, op9_quality_rules, op10_decontamination,
 )
 
 

@@ -309,7 +309,7 @@ def keep_first(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str = "do
     """The rows of ``docs`` whose id is the smallest of their component (rows without id stay)."""
     got = jaccard_components(docs, k=k, percent=percent, key=key, text=text)
     gone = got.where(F.col("component_id") < F.col(key)).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col(key) == F.col("_gone"), "left_anti")
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
