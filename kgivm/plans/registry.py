@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kgivm.plans import star_queries, text_queries
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Edits to deltas to decisions, summed per scenario against a rebuild."""
+    return star_queries.scenario_summary(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return star_queries.QUERIES | text_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return star_queries.ORACLES | text_queries.ORACLES
