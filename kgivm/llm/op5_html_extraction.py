@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from kgivm.llm import scratch
 
-MIN_PAGES, MIN_PERCENT = 10, 5
+MIN_PAGES, MIN_PERCENT, SENT_HASHES = 10, 5, 500_000
 RAW = "script|style|noscript|template|iframe|object|svg|textarea|select|title"
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*+(?:>|\Z).*?(?:</\1(?=[\s/>])[^>]*+(?:>|\Z)|\Z)|<[!?/](?![A-Za-z])[^>]*+(?:>|\Z)|<![^>]*+(?:>|\Z)"
@@ -235,16 +235,33 @@ def template_counts(pages: DataFrame, *, url: str = "url", html: str = "html", m
 
 
 def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", **options) -> DataFrame:
-    """``key``, ``url``, text and n_chars of every row."""
+    """``key``, ``url``, text and n_chars of every row.
+
+    A subtree is template on min_percent of its host's pages at least, so a host
+    has no more than 100 / min_percent times its mean number of boxes. Up to
+    ``SENT_HASHES`` of all hosts together are sent to the tasks; beyond that the
+    pages are joined with their own.
+    """
     stands, template = template_counts(pages, url=url, html=html, **options)
-    lists = stands.join(template, ["host", "hash"]).distinct().groupBy("content").agg(F.collect_list("hash").alias("hashes"))
-    src = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"), F.xxhash64(url, html).alias("content"))
-    rows = src.join(lists, "content", "left").select("k", "u", "html", "hashes")
-    kind, url_kind = (rows.schema[c].dataType.simpleString() for c in ("k", "u"))
+    template = scratch.saved(template)
+    src = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"), F.xxhash64(url, html).alias("content"), _host(url).alias("host"))
+    kind, url_kind = (src.schema[c].dataType.simpleString() for c in ("k", "u"))
+    sent = None
+    if template.count() <= SENT_HASHES:
+        found: dict[str, list[int]] = {}
+        for r in template.toLocalIterator():
+            found.setdefault(r.host, []).append(r.hash + (1 << 63))
+        sent = pages.sparkSession.sparkContext.broadcast({h: frozenset(x) for h, x in found.items()})
+        rows = src.select("k", "u", "html", "host")
+    else:
+        lists = stands.join(template, ["host", "hash"]).distinct().groupBy("content").agg(F.collect_list("hash").alias("hashes"))
+        rows = src.join(lists, "content", "left").select("k", "u", "html", "hashes")
 
     def read(batches):
         for batch in batches:
-            out = [Page(s).text(frozenset(h + (1 << 63) for h in t or ())) for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            last = batch.column(3).to_pylist()
+            gone = [sent.value.get(h, frozenset()) for h in last] if sent else [frozenset(h + (1 << 63) for h in t or ()) for t in last]
+            out = [Page(s).text(t) for s, t in zip(batch.column(2).to_pylist(), gone)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["k", "u", "text", "n_chars"])
 
     return rows.mapInArrow(read, f"k {kind}, u {url_kind}, text string, n_chars long").withColumnsRenamed({"k": key, "u": url})

@@ -1,3 +1,6 @@
+import pytest
+
+from kgivm.llm import op5_html_extraction as op5
 from kgivm.llm.op5_html_extraction import Page, extract
 
 CASES = [
@@ -19,7 +22,9 @@ def test_pages():
         assert Page(source).text(frozenset()) == want, source
 
 
-def test_templates_go_and_copied_articles_stay(spark):
+@pytest.mark.parametrize("sent", [0, 500_000])
+def test_templates_go_and_copied_articles_stay(spark, sent, monkeypatch):
+    monkeypatch.setattr(op5, "SENT_HASHES", sent)
     box = "<section class='x'>Read our other stories</section>"
     rows = [(i, f"http://Host.example/{i}", f"<body><div>Site name</div><p>own {i}</p></body>", "x") for i in range(20)]
     rows += [(100 + i, f"http://b.example/{i}", f"<article><p>same paragraph</p>{box}<p>own {i}</p></article>", "x") for i in range(20)]
