@@ -18,7 +18,7 @@ def removal_phrase(text: Column, triples: Column) -> Column:
     ends = F.flatten(F.transform(triples, lambda t: F.array(t["tail"], t["head"])))
     inside = F.filter(ends, lambda p: F.coalesce((p != "") & tx.phrase_occurs(text, p), F.lit(False)))
     # length up to the last occurrence
-    last = lambda p: F.length(text) - F.length(F.substring_index(text, p, -1)) - F.length(p)
+    last = lambda p: F.length(text) - F.length(F.call_function("substring_index", text, p, F.lit(-1))) - F.length(p)
     touched = lambda p: F.size(F.filter(triples, lambda t: (t["head"] == p) | (t["tail"] == p)))
     best = F.array_max(F.transform(inside, lambda p: F.struct(last(p).alias("at"), (-touched(p)).alias("touched"), F.length(p).alias("size"), p.alias("phrase"))))
     return best["phrase"]
