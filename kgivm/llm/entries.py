@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from kgivm.llm import oracles
 from kgivm.llm.op1_curve_packing import op1_curve_packing
 from kgivm.llm.op2_ngram_jaccard_join import op2_ngram_jaccard_join
 from kgivm.llm.op3_pii import op3_pii
@@ -28,4 +29,4 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return oracles.SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
