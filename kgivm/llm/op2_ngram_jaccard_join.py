@@ -15,8 +15,9 @@
    possible overlap is below what the threshold needs. What is left is compared
    exactly. Pairs already connected need no comparison, as only components are
    asked for.
-4. A large family is dealt out in chunks with a few common pivots; then only
-   documents outside its largest component meet the other chunks.
+4. A large family is cut by size classes, two neighbours to a unit; a unit that
+   is still too large is dealt out in chunks with a few common pivots, and then
+   only documents outside its largest component meet the other chunks.
 
 Texts without words have no set: 0 shingles, a component of their own. Null ids
 get a null component and link with nothing. Rows that share an id are one node
@@ -38,7 +39,7 @@ from kgivm.llm.components import components
 from kgivm.llm.kernels import BYTE, LOWER, SPACE, Prints, U, chunks, mix, runs
 
 LEAF = FAN = 16
-CHUNK_DOCS, CHUNK_SHINGLES = 1024, 1 << 20
+CHUNK_DOCS, CHUNK_SHINGLES = 4096, 1 << 22
 
 
 def shingles(data: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
@@ -249,6 +250,23 @@ def _linked(rows: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
     return sent.select("grp", "doc", "side", "root", "text").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _chunks(docs, total):
+    return F.greatest(F.ceil(docs / CHUNK_DOCS), F.ceil(total / CHUNK_SHINGLES))
+
+
+def _units(members: DataFrame, percent: int) -> DataFrame:
+    """Families too large for one task become units of two neighbouring size classes: linked sets lie in one class or in neighbours, so each is in its own unit and in that of the class below."""
+    total = members.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
+    large = total.where(_chunks(F.col("docs"), F.col("total")) > 1).select("family", F.lit(True).alias("large"))
+    most = members.agg(F.max("n")).first()[0] or 1
+    ladder = Ladder(percent)
+    ladder.own(most)
+    own = F.size(F.filter(F.array(*(F.lit(e) for e in ladder.edges)), lambda e: e <= F.col("n"))) - 1
+    rows = members.join(large, "family", "left")
+    unit = F.explode(F.when(F.col("large"), F.array(own, own - 1)).otherwise(F.array(F.lit(-2))))
+    return scratch.saved(rows.withColumn("unit", unit).select(F.concat_ws("/", F.col("family").cast("string"), "unit").alias("family"), "doc", "n"))
+
+
 def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_shingles, component_id of every row: components of the graph whose links are pairs with Jaccard similarity of percent / 100 or more."""
     src = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
@@ -265,13 +283,13 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, key: s
     families = components(edges, "top", "doc")
     members = families.withColumnRenamed("node", "doc").join(named.select("doc", "set"), "doc").select("set", F.col("component").alias("family")).distinct()
     members = scratch.saved(members.join(reps, "set").select("family", F.col("rep").alias("doc"), "n").distinct())
+    members = _units(members, percent)
     odd = lambda salt: F.xxhash64("doc", F.lit(salt))
     sizes = members.groupBy("family").agg(
-        F.count("*").alias("docs"), F.sum("n").alias("total"), F.max("n").alias("most"),
+        F.count("*").alias("docs"), F.sum("n").alias("total"),
         F.array_distinct(F.array(F.min("doc"), *(F.min_by("doc", odd(i)) for i in range(3)), F.min_by("doc", "n"), F.max_by("doc", "n"))).alias("pivots"),
     ).where("docs > 1")
-    n_chunks = F.greatest(F.ceil(F.col("docs") / CHUNK_DOCS), F.ceil(F.col("total") / CHUNK_SHINGLES))
-    sizes = scratch.saved(sizes.withColumn("chunks", n_chunks))
+    sizes = scratch.saved(sizes.withColumn("chunks", _chunks(F.col("docs"), F.col("total"))))
     dealt = scratch.saved(members.join(sizes.select("family", "chunks"), "family").withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks"))))
 
     many = sizes.where("chunks > 1")
@@ -290,7 +308,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, key: s
         giant = placed.groupBy("family", "root").agg(F.count("*").alias("m")).groupBy("family").agg(F.max_by("root", F.struct("m", "root")).alias("giant"))
         rest = scratch.saved(placed.join(giant, "family").where("root <> giant").drop("giant"))
         if not rest.isEmpty():
-            size = rest.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / CHUNK_DOCS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("parts"))
+            size = rest.groupBy("family").agg(_chunks(F.count("*"), F.sum("n")).alias("parts"))
             part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
             lone = rest.join(size, "family").withColumn("part", F.pmod(F.xxhash64("doc", F.lit("part")), F.col("parts")))
             lone = lone.select("family", "doc", "root", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("side"))
