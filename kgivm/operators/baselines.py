@@ -13,7 +13,7 @@ from kgivm.operators.policy import BASELINE_COST
 from kgivm.operators.refresh import mark_stale
 from kgivm.store import Graph
 
-NAMES = {"traversal": "B1_generic_aql_traversal", "update": "B1_aql_update", "naive": "B2_naive"}
+NAMES = {"traversal": "B1_traversal", "update": "B1_update", "naive": "B2_naive"}
 
 
 @dataclass

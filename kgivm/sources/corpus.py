@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from kgivm.functions import text as tx
 from kgivm.schemas import TABLES
 
+# Fixed value: what the documents table says about its origin.
+SOURCE = "re-docred"
 CORPUS = (
     "array<struct<title:string,sents:array<array<string>>,vertexSet:array<array<struct<name:string,type:string,sent_id:int,pos:array<int>>>>,"
     "labels:array<struct<h:int,t:int,r:string,evidence:array<int>>>>>"
@@ -55,7 +57,7 @@ def ingest(parsed: DataFrame) -> dict[str, DataFrame]:
     supports = labels.select("doc_id", relation.alias("dst"), F.col("l.rel_type").alias("rel_type"), F.posexplode("l.evidence").alias("k", "s"))
     edge = (F.lit("active").alias("status"), F.lit(0).alias("added_step"), F.lit(None).cast("int").alias("removed_step"))
     tables = {
-        "documents": parsed.select("doc_id", "title", F.size("sents").alias("num_sents"), F.lit("re-docred").alias("source")),
+        "documents": parsed.select("doc_id", "title", F.size("sents").alias("num_sents"), F.lit(SOURCE).alias("source")),
         "sentences": sents.select(
             tx.sentence_id(F.col("doc_id"), F.col("idx")).alias("sent_id"), "doc_id", "idx", "text", tx.text_hash(F.col("text")).alias("text_hash"), F.lit("active").alias("status"),
             F.lit(0).alias("last_changed_step"), F.lit(None).cast("array<double>").alias("embedding"), F.lit(None).cast("string").alias("embedding_backend"),

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint in spark.checkpoint.dir (a folder of our own where that is unset)."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kgivm-"))
-    return df.checkpoint()
+    """``df`` written once as Parquet under spark.checkpoint.dir (a folder of our own where that is unset) and read again. Unlike a checkpoint it computes the frame once."""
+    spark = df.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("kgivm.staging", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="kgivm-")
+        spark.conf.set("kgivm.staging", base)
+    path = f"{base.rstrip('/')}/kgivm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
