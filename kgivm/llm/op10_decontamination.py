@@ -234,7 +234,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH
 def keep_clean(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without a hit (rows without id stay)."""
     gone = decontamination(docs, benchmark, width=width, key=key, text=text).where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col(key) == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), docs[key] == gone["_gone"], "left_anti")
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

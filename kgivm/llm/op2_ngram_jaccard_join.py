@@ -195,20 +195,27 @@ def link(sets: list[np.ndarray], side: np.ndarray, root: np.ndarray, percent: in
     order = np.lexsort([[int(s[0]) for s in sets], [len(s) for s in sets]])
     sets, side, root = [sets[i] for i in order], side[order], root[order].copy()
     tree, found = Tree(sets), []
+    asks = [side]
+    for level in range(1, len(tree.levels)):
+        asks.append(np.maximum.reduceat(asks[-1], np.arange(0, len(asks[-1]), LEAF if level == 1 else FAN)))
     stack = [(len(tree.levels) - 1, 0, 0)]
     while stack:
         level, x, y = stack.pop()
         if level == 0:
             continue
         a, b = tree.children(level, x), tree.children(level, y)
-        ok = tree.possible(level - 1, a, b, percent)
+        open_ = (asks[level - 1][a][:, None] | asks[level - 1][b]) > 0
         if x == y:
-            ok &= a[:, None] <= b if level > 1 else a[:, None] < b
+            open_ &= a[:, None] <= b if level > 1 else a[:, None] < b
+        if level == 1:
+            open_ &= root[a][:, None] != root[b]
+        if not open_.any():
+            continue
+        ok = open_ & tree.possible(level - 1, a, b, percent)
         if level > 1:
             stack += [(level - 1, int(a[i]), int(b[j])) for i, j in np.argwhere(ok)]
             continue
-        ok &= (side[a][:, None] | side[b]) > 0
-        for i, j in np.argwhere(ok & (root[a][:, None] != root[b])):
+        for i, j in np.argwhere(ok):
             p, q = a[i], b[j]
             if root[p] == root[q]:
                 continue
@@ -327,7 +334,7 @@ def keep_first(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str = "do
     """The rows of ``docs`` whose id is the smallest of their component (rows without id stay)."""
     got = jaccard_components(docs, k=k, percent=percent, key=key, text=text)
     gone = got.where(F.col("component_id") < F.col(key)).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col(key) == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), docs[key] == gone["_gone"], "left_anti")
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

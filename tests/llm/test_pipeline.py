@@ -47,3 +47,17 @@ def test_stages_equal_brute_force(spark):
             assert p.start == at and p.ids_crc32 == zlib.crc32(np.asarray(ids[at : at + p.length], "<u4").tobytes())
             at += p.length
         assert at == len(ids)
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls, empty and repeated rows, clashing names and empty tables pass every stage."""
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text, None, "src", 5, "x"), (None, text + " tail", "en", None, None, None), (2, None, None, None, None, "y"), (3, "", "en", "s", 0, "z"), (1, text, None, "src", 5, "x"), (4, text + " a@b.cd", "en", "s", 1, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _gone string")
+    for frame in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, frame, SF).cache()
+            assert out.columns == docs.columns
+            frame = out
+        last = corpus_pipeline.STAGES[-1][1](spark, frame, SF)
+        assert (last.count() > 0) == (frame.count() > 0)
