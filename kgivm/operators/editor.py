@@ -45,6 +45,18 @@ def heuristic(rows: DataFrame) -> DataFrame:
     return out.withColumn("candidate", supported(F.col("triples"), F.col("new_text"))).withColumn("applies", F.lit(True))
 
 
+def cached(provider: Provider, answers: DataFrame, name: str) -> Provider:
+    """A provider that asks only for what ``answers`` (provider, sent_id, instruction, new_text, candidate, applies) does not hold under its name."""
+    keys = ["sent_id", "instruction"]
+
+    def run(rows: DataFrame) -> DataFrame:
+        known = answers.where(F.col("provider") == name).select(*keys, "new_text", "candidate", "applies").dropDuplicates(keys)
+        asked = provider(rows.join(known.select(*keys), keys, "left_anti"))
+        return rows.join(known, keys).select(*asked.columns).unionByName(asked)
+
+    return run
+
+
 def select_by_evidence(g: Graph, instructions: DataFrame, input_kind: str = "instruction") -> DataFrame:
     """instruction_id, sent_id: evidence-bearing sentences of the instruction's document that hold a focus term; without focus terms, those whose triples' ends the instruction names."""
     rows = pv.with_evidence(g, g["sentences"].select("sent_id", "doc_id", "text")).join(instructions, "doc_id").join(pv.current_triples(g), "sent_id", "left")

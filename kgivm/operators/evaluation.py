@@ -112,5 +112,19 @@ def mean_flags(rows: DataFrame, *flags: str) -> DataFrame:
     return rows.agg(F.count("*").alias("operations"), *(F.coalesce(F.avg(F.col(f).cast("double")), F.lit(0.0)).alias(f) for f in flags))
 
 
+def edit_outcomes(result, cases: DataFrame) -> DataFrame:
+    """Per case whether its edit removed the old fact, added the new one, and decided as the evidence asks for. ``cases``: edit_seq, old and new (triples), active_before (of the old relation). The old relation is rebuilt if it had one evidence only; the new one is patched."""
+    norm = lambda t: F.concat_ws("|", *(tx.normalize_name(F.col(f"{t}.{c}")) for c in ("head", "rel_type", "tail")))
+    done = result.deltas.where("scope = 'relation'").select("edit_seq", "delta_type", "target_id", norm("triple").alias("fact"))
+    done = done.join(result.decisions.where("target_type = 'relation'").select("edit_seq", "target_id", "decision").distinct(), ["edit_seq", "target_id"])
+    both = cases.withColumn("old_fact", norm("old")).withColumn("new_fact", norm("new")).join(done, "edit_seq", "left")
+    is_old = (F.col("fact") == F.col("old_fact")) & (F.col("delta_type") == "removed")
+    is_new = (F.col("fact") == F.col("new_fact")) & (F.col("delta_type") == "added")
+    expected = F.when(F.col("active_before") == 1, "REBUILD").otherwise("PATCH")
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    rows = both.groupBy("edit_seq").agg(some(is_old).alias("old_removed"), some(is_new).alias("new_added"), some(is_old & (F.col("decision") == expected)).alias("old_decision"), some(is_new & (F.col("decision") == "PATCH")).alias("new_decision"))
+    return rows.withColumn("delta_correct", F.col("old_removed") & F.col("new_added")).withColumn("decision_correct", F.col("old_decision") & F.col("new_decision"))
+
+
 def per_edit(seconds: Column, edits: Column, records: Column) -> dict[str, Column]:
     return {"ms_per_edit": tx.ratio(seconds * 1000, edits), "records_per_edit": tx.ratio(records, edits)}

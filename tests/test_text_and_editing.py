@@ -137,3 +137,20 @@ def test_stream_and_engine(spark, tmp_path, store, edits):
     assert e.graph()[1].count() == 1 and e.baseline(spark.createDataFrame([("doc0:1",)], "s string")).first().stale_count == 3
     e.reset()
     assert e.counts().agg(F.sum("rows")).first()[0] == 0
+
+
+def test_cached_answers_and_outcomes(store, spark, edits):
+    from kgivm.operators.pipeline import apply_batch
+
+    g = store.load()
+    ask = spark.createDataFrame([(0, "doc0", "remove Warsaw")], "instruction_id int, doc_id string, instruction string")
+    answers = spark.createDataFrame([("m", "doc0:0", "remove Warsaw", "From a cache.", [], True), ("other", "doc0:1", "remove Warsaw", "no", [], True)], f"provider string, sent_id string, instruction string, new_text string, candidate {TRIPLES}, applies boolean")
+    got = editor.build_edits(g, ask, provider=editor.cached(editor.heuristic, answers, "m")).orderBy("sent_idx").collect()
+    assert [r.new_text for r in got] == ["From a cache.", "is the capital of Poland ."]
+
+    result = apply_batch(g, edits(("doc0", 0, "Marie Curie was born in Paris", [NEW]), ("doc0", 1, "Poland", [])), 1)
+    cases = spark.createDataFrame([(0, BORN, NEW, 1), (1, ("Warsaw", "country", "Poland"), NEW, 2)], "edit_seq long, old struct<head:string,rel_type:string,tail:string>, new struct<head:string,rel_type:string,tail:string>, active_before int")
+    out = {r.edit_seq: r for r in evaluation.edit_outcomes(result, cases).collect()}
+    assert (out[0].delta_correct, out[0].decision_correct) == (True, True)
+    assert (out[1].old_removed, out[1].new_added, out[1].old_decision) == (True, False, False)
+    assert evaluation.mean_flags(evaluation.edit_outcomes(result, cases), "delta_correct").first().delta_correct == 0.5
