@@ -158,18 +158,10 @@ def _keys(src: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 class Tree:
-    """A signature tree over some sets, smallest first."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        bits = 64
-        while bits < 8 * max(map(len, sets)) and bits < 1 << 16:
-            bits *= 2
-        shift = U(64 - bits.bit_length() + 1)
-        maps = np.zeros((len(sets), bits), bool)
-        for row, s in zip(maps, sets):
-            row[(s >> shift).astype(np.int64)] = True
-        maps = np.packbits(maps, axis=1).view(np.uint64)
-        n = np.array([len(s) for s in sets])
+    """A signature tree over the bitmaps (packed, rows of whole 64-bit words) and sizes of some sets, smallest first."""
+
+    def __init__(self, maps: np.ndarray, n: np.ndarray):
+        maps = np.ascontiguousarray(maps).view(np.uint64)
         extra = n - np.bitwise_count(maps).sum(1, dtype=np.int64)
         self.levels = [(maps, n, n, extra)]
         while len(self.levels[-1][0]) > 1:
@@ -190,11 +182,22 @@ class Tree:
         return np.arange(node * fan, min((node + 1) * fan, len(self.levels[level - 1][0])))
 
 
-def link(sets: list[np.ndarray], side: np.ndarray, root: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join components among some sets. ``side``: 1 compares with all, 0 with 1 only. ``root``: known components."""
-    order = np.lexsort([[int(s[0]) for s in sets], [len(s) for s in sets]])
-    sets, side, root = [sets[i] for i in order], side[order], root[order].copy()
-    tree, found = Tree(sets), []
+def bits_for(n: int, per_token: int) -> int:
+    bits = 64
+    while bits < per_token * n and bits < 1 << 16:
+        bits *= 2
+    return bits
+
+
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    """Packed bitmap of a set: a token's bit is given by its upper bits, so halving the bits joins neighbours."""
+    row = np.zeros(bits, bool)
+    row[(s >> U(64 - bits.bit_length() + 1)).astype(np.int64)] = True
+    return np.packbits(row)
+
+
+def open_pairs(tree: Tree, side: np.ndarray, root: np.ndarray, percent: int):
+    """Pairs of documents that the dual traversal of a tree leaves. ``side``: 1 compares with all, 0 with 1 only. ``root`` (components) may change meanwhile."""
     asks = [side]
     for level in range(1, len(tree.levels)):
         asks.append(np.maximum.reduceat(asks[-1], np.arange(0, len(asks[-1]), LEAF if level == 1 else FAN)))
@@ -216,16 +219,79 @@ def link(sets: list[np.ndarray], side: np.ndarray, root: np.ndarray, percent: in
             stack += [(level - 1, int(a[i]), int(b[j])) for i, j in np.argwhere(ok)]
             continue
         for i, j in np.argwhere(ok):
-            p, q = a[i], b[j]
-            if root[p] == root[q]:
-                continue
-            both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
-            if 100 * both >= percent * (len(sets[p]) + len(sets[q]) - both):
-                found.append((int(order[p]), int(order[q])))
-                root[root == root[q]] = root[p]
+            if root[a[i]] != root[b[j]]:
+                yield a[i], b[j]
+
+
+def link(sets: list[np.ndarray], side: np.ndarray, root: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join components among some sets."""
+    order = np.lexsort([[int(s[0]) for s in sets], [len(s) for s in sets]])
+    sets, side, root = [sets[i] for i in order], side[order], root[order].copy()
+    bits = bits_for(len(sets[-1]), 8)
+    tree, found = Tree(np.stack([bitmap(s, bits) for s in sets]), np.array([len(s) for s in sets])), []
+    for p, q in open_pairs(tree, side, root, percent):
+        both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+        if 100 * both >= percent * (len(sets[p]) + len(sets[q]) - both):
+            found.append((int(order[p]), int(order[q])))
+            root[root == root[q]] = root[p]
     return found
 
 
+def _signatures(src: DataFrame, k: int, kind: str) -> DataFrame:
+    """doc, n, bits (4 per token, rounded up to a power of two)."""
+
+    def sign(batches):
+        for batch in batches:
+            for lo, hi, data, at in chunks(batch.column(1)):
+                got = shingles(data, at, k)
+                maps = [bitmap(s, bits_for(len(s), 4)).tobytes() for s in got]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in got], pa.int64()), pa.array(maps, pa.binary())], ["doc", "n", "bits"])
+
+    return src.select("doc", "text").mapInArrow(sign, f"doc {kind}, n long, bits binary")
+
+
+def _candidates(rows: DataFrame, percent: int, kind: str) -> DataFrame:
+    """a, b: pairs inside groups that the tree over their signatures leaves. ``rows``: grp, doc, side, root, n, bits."""
+    sent = rows.repartition("grp").sortWithinPartitions("grp")
+
+    def solve(group):
+        docs, side, root, n, bits = group
+        if len(docs) < 2:
+            return []
+        order = np.argsort(np.array(n), kind="stable")
+        width = min(map(len, bits))
+        maps = []
+        for i in order:
+            row = np.frombuffer(bits[i], np.uint8)
+            if len(row) > width:  # halve until the lengths agree
+                row = np.packbits(np.unpackbits(row).reshape(width * 8, -1).any(1))
+            maps.append(row)
+        local = np.unique(np.array([str(r) for r in root]), return_inverse=True)[1]
+        tree = Tree(np.stack(maps), np.array(n)[order])
+        return [(docs[order[p]], docs[order[q]]) for p, q in open_pairs(tree, np.array(side)[order], local[order], percent) if docs[order[p]] != docs[order[q]]]
+
+    def run(batches):
+        now, group = None, ([], [], [], [], [])
+        doc_type = None
+
+        def frame(out):
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], doc_type), pa.array([x[1] for x in out], doc_type)], ["a", "b"])
+
+        for batch in batches:
+            doc_type = batch.schema.field(1).type
+            for name, *values in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if name != now:
+                    if out := solve(group):
+                        yield frame(out)
+                    now, group = name, ([], [], [], [], [])
+                for part, value in zip(group, values):
+                    part.append(value)
+        if out := solve(group):
+            yield frame(out)
+
+    return sent.select("grp", "doc", "side", "root", "n", "bits").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def _linked(rows: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
     """a, b: links inside groups. ``rows``: grp (string), doc, side, root, text, all rows of a group together."""
     sent = rows.repartition("grp").sortWithinPartitions("grp")
@@ -321,7 +387,13 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, key: s
             lone = lone.select("family", "doc", "root", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("side"))
             others = placed.join(size, "family").select("family", "doc", "root", part.alias("part"), "chunk", F.lit(0).alias("side"))
             second = lone.unionByName(others).select(F.concat_ws(":", "family", "part", "chunk").alias("grp"), "doc", "side", "root")
-            links = links.unionByName(scratch.saved(_linked(second.join(texts_, "doc"), k, percent, kind)))
+            # signatures meet, a fraction of the texts' size; texts only of the pairs that they leave
+            signed = scratch.saved(_signatures(placed.select("doc").distinct().join(texts_, "doc"), k, kind))
+            pairs = scratch.saved(_candidates(second.join(signed.hint("merge"), "doc"), percent, kind).distinct())
+            share = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK_DOCS).alias("shares"))
+            pairs = pairs.join(share, "a").withColumn("grp", F.concat_ws(":", "a", F.pmod(F.xxhash64("b"), F.col("shares"))))
+            third = pairs.select("grp", F.col("a").alias("doc"), F.lit(1).alias("side")).unionByName(pairs.select("grp", F.col("b").alias("doc"), F.lit(0).alias("side"))).distinct()
+            links = links.unionByName(scratch.saved(_linked(third.withColumn("root", F.col("doc")).join(texts_, "doc"), k, percent, kind)))
 
     final = components(links, "a", "b").withColumnRenamed("node", "rep")
     by_set = reps.join(final, "rep", "left").select("set", F.coalesce("component", "rep").alias("component_id"))
