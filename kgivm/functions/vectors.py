@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,3 +38,30 @@ def hashed_embedding(text: Column, dimension: int = DIMENSION) -> Column:
     summed = F.aggregate(placed, F.create_map().cast("map<int,double>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["b"]), F.create_map(x["b"], F.coalesce(F.try_element_at(m, x["b"]), F.lit(0.0)) + x["s"])))
     dense = F.element_at(F.transform(F.array(summed), lambda m: F.transform(index, lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)))), 1)
     return F.element_at(F.transform(F.array(dense), lambda v: F.element_at(F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))), 1)), 1)
+
+
+class _Places(dict):
+    """A feature's bucket, doubled, plus 1 for a positive sign; bounded, as texts have ever new features."""
+
+    def __missing__(self, feature: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = hashlib.sha1(feature.encode()).hexdigest()
+        place = self[feature] = int(h[:8], 16) % DIMENSION * 2 + int(h[8:10], 16) % 2
+        return place
+
+
+_places = _Places()
+
+
+def hashed_counts(texts: list[str | None]) -> np.ndarray:
+    """``hashed_embedding`` before its normalisation, one row for each text (null: zeros); whole numbers."""
+    out = np.zeros((len(texts), DIMENSION))
+    for row, text in zip(out, texts):
+        words = re.findall("[a-z0-9]+", (text or "").lower())
+        if words:
+            seen = list(map(_places.__getitem__, words))
+            seen += map(_places.__getitem__, map("_".join, zip(words, words[1:])))
+            n = np.bincount(seen, minlength=2 * DIMENSION)
+            row[:] = n[1::2] - n[::2]
+    return out

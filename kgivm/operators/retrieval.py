@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,34 @@ def search(rows: DataFrame, queries: DataFrame, *, key: str, limit: int = 5, thr
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
 
+def search_texts(rows: DataFrame, queries: DataFrame, *, key: str, threshold: float) -> DataFrame:
+    """All rows of a cosine of ``threshold`` or more with a query, by hashed embeddings: query_id, ``key``, score.
+
+    ``rows``: key, text. ``queries`` (query_id, text) are the query set, held by
+    the driver and sent to all tasks. Whole batches are embedded and compared,
+    as the column expression takes 0.1 s a text. Zero vectors are like nothing.
+    """
+    spark = rows.sparkSession
+    asked = queries.select("query_id", "text").toArrow()
+    vectors = vx.hashed_counts(asked["text"].to_pylist())
+    sent = spark.sparkContext.broadcast((asked["query_id"].combine_chunks(), vectors, np.sqrt((vectors * vectors).sum(1))))
+
+    def compare(batches):
+        ids, q, q_norm = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                d = vx.hashed_counts(part.column(1).to_pylist())
+                norms = np.outer(np.sqrt((d * d).sum(1)), q_norm)
+                score = np.divide(d @ q.T, norms, out=np.zeros_like(norms), where=norms > 0)
+                i, j = np.nonzero((score >= threshold) & (norms > 0))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(j)), part.column(0).take(pa.array(i)), pa.array(score[i, j])], ["query_id", key, "score"])
+
+    src = rows.select(key, "text")
+    kinds = queries.schema["query_id"].dataType.simpleString(), src.schema[key].dataType.simpleString()
+    return src.mapInArrow(compare, f"query_id {kinds[0]}, {key} {kinds[1]}, score double")
+
+
 def semantic_search(g: Graph, queries: DataFrame, *, doc_id: str | None = None, limit: int = 5, threshold: float | None = None) -> DataFrame:
     """``queries``: query_id, query (text; blank ones find nothing)."""
     rows = g["sentences"].select("sent_id", "doc_id", "idx", "text", "embedding")

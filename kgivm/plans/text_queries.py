@@ -121,9 +121,9 @@ scored AS (SELECT query_id, doc, round(dot / (a.n * b.n), 6) AS score FROM pairs
 SELECT query_id, doc, score FROM scored"""
 )
 def hash_embedding_search(spark, sf_dir) -> DataFrame:
-    q = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("query_id"), vx.hashed_embedding(F.col("text")).alias("query_vector"))
-    d = table(spark, sf_dir, "documents").where("n_chars < 400").select(F.concat(F.lit("d"), "doc_id").alias("doc"), vx.hashed_embedding(F.col("text")).alias("embedding"))
-    return retrieval.search(d, q, key="doc", limit=1 << 30, threshold=0.2).select("query_id", "doc", F.round("score", 6).alias("score"))
+    q = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("query_id"), "text")
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("doc"), "text")
+    return retrieval.search_texts(d, q, key="doc", threshold=0.2).select("query_id", "doc", F.round("score", 6).alias("score"))
 
 
 @query(
