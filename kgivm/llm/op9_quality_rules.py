@@ -1,9 +1,10 @@
 """Quality rules with suffix-array repetition.
 
 Plain counts (words, symbols, repeated lines, words in repeated 3-word windows)
-and, per document, the suffix array of its words: positions whose 3-word window
-occurs again are ranked by prefix doubling, sorted, and the longest common
-prefixes of neighbours in that order give every maximal repeat. The spans of
+and, per document, the suffix array of its words: positions are ranked by prefix
+doubling from single words, those whose 3-word window occurs again are sorted,
+and the longest common prefixes of neighbours in that order give every maximal
+repeat. The spans of
 repeats of at least ``min_words`` words are united; a document is rejected when
 they cover more than ``max_covered`` percent of its words, or when the longest
 repeat alone is more than ``max_longest`` percent of them.
@@ -62,8 +63,6 @@ def repeats(word: np.ndarray, row: np.ndarray, bounds: np.ndarray, min_words: in
         return nothing, nothing, nothing
     grams = Prints(word).grams(WINDOW)[valid] ^ mix(row[valid].astype(U) + U(1))
     _, back, count = np.unique(grams, return_inverse=True, return_counts=True)
-    rank = n + np.arange(n)  # a rank of its own for whatever has no equal
-    rank[valid] = back
     live = valid[count[back] > 1]
     step = np.zeros(n + 1, np.int64)
     np.add.at(step, live, 1)
@@ -71,32 +70,35 @@ def repeats(word: np.ndarray, row: np.ndarray, bounds: np.ndarray, min_words: in
     repeated = per_row(np.cumsum(step[:n]) > 0, bounds)
     if not len(live):
         return repeated, nothing, nothing
-    # prefix doubling on the positions that still share their rank
-    levels, sizes, first, size = [rank], [WINDOW], live, WINDOW
-    while len(live):
-        inner = live[(live + size < n)]
-        inner = inner[row[np.minimum(inner + size, n - 1)] == row[inner]]
-        if not len(inner):
+    # suffix order by prefix doubling from single words: a rank is the first place of its equals, so ranks keep the order and only equals are ranked again
+    first, last = live, bounds[row + 1]
+    order = np.lexsort((word, row))
+    head = np.append(True, (word[order[1:]] != word[order[:-1]]) | (row[order[1:]] != row[order[:-1]]))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    levels, size = [], 1
+    while True:
+        live = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
+        if not len(live):
             break
-        low = levels[-1]
-        _, back, count = np.unique(low[inner] * np.int64(2 * n) + low[inner + size], return_inverse=True, return_counts=True)
-        if count.max() < 2:
-            break
-        high = n + np.arange(n)
-        high[inner] = back
-        live = inner[count[back] > 1]
+        levels.append((rank, size))
+        after = live + size
+        follow = np.where(after < last[live], rank[np.minimum(after, n - 1)] + 1, 0)  # the row's end comes first
+        order = np.lexsort((follow, rank[live]))
+        old, follow, at = rank[live[order]], follow[order], np.arange(len(live))
+        new_old = np.append(True, old[1:] != old[:-1])
+        new = new_old | np.append(True, follow[1:] != follow[:-1])
+        rank = rank.copy()
+        rank[live[order]] = old + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(new_old, at, 0))
         size *= 2
-        levels.append(high)
-        sizes.append(size)
-    order = first[np.lexsort([level[first] for level in reversed(levels)])]
+    order = first[np.argsort(rank[first])]
     a, b = order[:-1], order[1:]
     common = np.zeros(len(a), np.int64)
-    same_row = row[a] == row[b]
-    for level, size in [*zip(reversed(levels), reversed(sizes)), (word, 1), (word, 1)]:
+    # equal ranks are of one row, as its end is a symbol of its own
+    for level, size in reversed(levels):
         x, y = a + common, b + common
-        ok = same_row & (x < n) & (y < n)
+        ok = (x < n) & (y < n)
         ok &= level[np.minimum(x, n - 1)] == level[np.minimum(y, n - 1)]
-        ok &= (row[np.minimum(x, n - 1)] == row[a]) & (row[np.minimum(y, n - 1)] == row[b])
         common += np.where(ok, size, 0)
     longest = np.zeros(len(order), np.int64)
     longest[1:] = common

@@ -62,3 +62,22 @@ def test_verdicts(spark, docs):
     kept = keep_good(docs(spark, rows))
     assert kept.columns == docs(spark, rows).columns and {r.doc_id for r in kept.collect()} == {0, 5, 6}
     assert quality(docs(spark, [])).count() == 0
+
+
+def test_repeats_under_a_shared_prefix():
+    r = random.Random(7)
+    rows = []
+    for tail in (1, 2):
+        for copies in (2, 3):
+            names = [[f"name{i}x{k}" for k in range(tail)] for i in range(10)] * copies
+            r.shuffle(names)
+            # 9 common words, 1 or 2 of a name that comes again, and words of the line alone
+            rows += [" ".join(f"c{i}v{v}" for i in range(9)) + " " + " ".join(name) + " " + " ".join(f"u{v}x{k}x{i}" for i in range(15)) for v in range(4) for k, name in enumerate(names)]
+    texts_ = ["\n".join(rows[at : at + 20]) for at in range(0, len(rows), 20)]
+    texts_ += ["\n".join(r.sample(rows[:20], 20)) for _ in range(2)]
+    for limit in (100, 1 << 20):
+        got = []
+        for _, _, data, at in chunks(pa.array(texts_, pa.string()), limit):
+            got += [list(map(int, row)) for row in zip(*measure(data, at, 10))]
+        assert got == [brute(t) for t in texts_]
+    assert brute(texts_[0])[5:] == [200, 10]
