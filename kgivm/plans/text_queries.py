@@ -191,7 +191,7 @@ def verified_triples(spark, sf_dir) -> DataFrame:
     word = lambda pattern: F.lower(F.regexp_extract("text", pattern, 1))
     triple = F.struct(word("([A-Za-z]+)").alias("head"), F.lit("before").alias("rel_type"), word("([A-Za-z]+)[^A-Za-z]*$").alias("tail"))
     rows = table(spark, sf_dir, "conversations").withColumn("triples", F.array(triple))
-    kept = editor.verify(F.col("triples"), F.left("text", F.lit(60)), F.slice("triples", 1, 0), F.slice("triples", 1, 0))
+    kept = editor.verify(F.col("triples"), F.col("text"), F.slice("triples", 1, 0), F.slice("triples", 1, 0))
     return rows.select("conv_id", "turn", F.explode(kept).alias("t")).select("conv_id", "turn", F.concat_ws("|", "t.head", "t.rel_type", "t.tail").alias("triple"))
 
 

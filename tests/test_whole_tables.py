@@ -30,3 +30,10 @@ def test_hash_embedding_search_reads_texts_of_any_length(spark, tmp_path):
     got = {(r.query_id, r.doc): r.score for r in registry.queries()["hash_embedding_search"](spark, str(tmp_path)).collect()}
     assert len(texts[1]) >= 400 and ("b0", "d1") in want
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_verified_triples_reads_the_whole_turn(spark, tmp_path):
+    texts = ["Warsaw is in Poland.", "Warsaw " + "is a large old city " * 10 + "of Poland.", "1 2 3"]
+    spark.createDataFrame([(7, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn, r.triple) for r in registry.queries()["verified_triples"](spark, str(tmp_path)).collect()}
+    assert len(texts[1]) > 60 and got == {(7, 0, "warsaw|before|poland"), (7, 1, "warsaw|before|poland"), (7, 2, "|before|")}
