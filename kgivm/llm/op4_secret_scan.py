@@ -100,7 +100,7 @@ def features(value: str, left: str, right: str) -> list[float]:
 
 
 def candidates(text: str, data: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Spans of long runs of key characters (dots at their ends do not count) and of assigned values."""
+    """Spans of long runs of key characters (dots at their ends do not count), of their long path segments and of whole assigned values; the outer of two comes first."""
     raw = text.encode() if data is None else data.tobytes()
     arr = np.frombuffer(raw, np.uint8)
     found = set()
@@ -120,11 +120,19 @@ def candidates(text: str, data: np.ndarray | None = None) -> list[tuple[int, int
                 a = b - len(text[a:b]) + len(name) + 1
             if b - a >= 8:
                 found.add((a, b))
+            # a token may be one segment of a path
+            for m in re.finditer(rf"[^/]{{{MIN_RUN},}}", text[a:b]):
+                left, right = m.group().lstrip(".=-"), m.group().rstrip(".-")
+                if len(left) + len(right) - len(m.group()) >= MIN_RUN:
+                    found.add((a + m.end() - len(left), a + m.start() + len(right)))
     if b"=" in raw or b":" in raw:
         for m in ASSIGNED.finditer(text):
-            if not any(a < m.end(1) and m.start(1) < b for a, b in found):
-                found.add(m.span(1))
-    return sorted(found)
+            a, b = m.span(1)
+            while b - a > 8 and text[b - 1] in ".-":
+                b -= 1
+            # the parts of a value stay candidates beside the whole, in case that is rejected
+            found.add((a, b))
+    return sorted(found, key=lambda s: (s[0], -s[1]))
 
 
 class Forest:
@@ -251,9 +259,14 @@ def scan(docs: DataFrame, forest: Forest, *, key: str = "doc_id", text: str = "t
             row = np.array(rows, np.int64)
             good = score >= threshold
             names: list[list[str]] = [[] for _ in range(n)]
-            for r, (_, _, _, a, b), g in zip(rows, spans, good):
-                if g:
-                    names[r].append(f"{a}:{b}")
+            last = (-1, 0)
+            for i in np.flatnonzero(good).tolist():
+                r, (_, _, _, a, b) = rows[i], spans[i]
+                if r == last[0] and a < last[1]:
+                    good[i] = False  # a part of a finding
+                    continue
+                last = (r, b)
+                names[r].append(f"{a}:{b}")
             best = np.full(n, -1.0)
             np.maximum.at(best, row, score)
             yield pa.RecordBatch.from_arrays(

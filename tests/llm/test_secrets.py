@@ -28,3 +28,16 @@ def test_scan(spark, docs):
     assert texts[0][a:b] == key
     assert got[1].best is None and got[3].n_candidates == 1
     assert scan(docs(spark, []), forest).count() == 0
+
+
+def test_whole_assigned_values_and_path_segments(spark, docs):
+    value, key = "Tr0ub4dor&3correcthorsebattery", "ghp_a8Kd02mXq7Zr5Tn1Vw9Lc3Yb6Hs4Jf0PgQeRu"
+    assert value in [x[a:b] for x in [f'password = "{value}"'] for a, b in candidates(x)]
+    path = f"see https://git.example.com/repos/{key}/index.html now"
+    assert key in [path[a:b] for a, b in candidates(path)]
+    texts = [path, 'token = "24be64439e3e49cf46b2&d7c90f3602a3d0b907ff"']
+    got = {r.doc_id: r for r in scan(docs(spark, texts), train(labelled_findings())).collect()}
+    for i, r in got.items():
+        ends = [tuple(map(int, x.split(":"))) for x in r.spans.split(",") if x]
+        assert r.n_secrets == len(ends) and all(b <= c for (_, b), (c, _) in zip(ends, ends[1:]))
+    assert key in "".join(texts[0][a:b] for a, b in [tuple(map(int, x.split(":"))) for x in got[0].spans.split(",")])
