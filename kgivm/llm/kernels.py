@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 U = np.uint64
 _rng = np.random.default_rng(20240229)
 BYTE = _rng.integers(0, 2**64, 256, dtype=U)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from kgivm.llm.kernels import Prints, U, chunks, mix
+from kgivm.llm.kernels import CHUNK, Prints, U, chunks, mix
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -214,7 +214,7 @@ class Encoder:
         ids = self.flat[np.repeat(at - ends[:-1], count) + np.arange(ends[-1])]
         return ids, ends[np.searchsorted(s, rows)]
 
-    def batches(self, column: pa.Array, limit: int = 1 << 20, ids: bool = True):
+    def batches(self, column: pa.Array, limit: int = CHUNK, ids: bool = True):
         """First row, end row, ids, bounds of runs of rows of a column."""
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()

@@ -19,7 +19,7 @@ def brute(texts, k, percent):
     root = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) and root[i] != root[j]:
+            if root[i] != root[j] and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 a, b = sorted((root[i], root[j]))
                 root = [a if r == b else r for r in root]
     return {i: (len(s), root[i]) for i, s in enumerate(sets)}
@@ -67,8 +67,42 @@ def test_linked_sets_share_a_key():
             b = np.concatenate([a[gone:], r.integers(0, 2**64, int(r.integers(0, n // 4 + 1)), dtype=np.uint64)])
             a, b = np.unique(a), np.unique(b)
             both = len(np.intersect1d(a, b))
-            if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
+            if len(b) and 100 * both >= percent * (len(a) + len(b) - both) and len(np.union1d(a, b)) > both:
                 assert np.intersect1d(ladder.keys(a), ladder.keys(b)).size
+                left = r.random() * 2**64  # any shingles may count as common
+                assert np.intersect1d(ladder.keys(a, a[a > left]), ladder.keys(b, b[b > left])).size
+
+
+def test_common_shingles_cost_no_link(spark, docs, monkeypatch):
+    """Frequent shingles are left out of the blocking; copies made of nothing else are still found."""
+    monkeypatch.setattr(op2, "COMMON_DOCS", 3)
+    texts = corpus(77, n_bases=10, copies=12)
+    frame = docs(spark, texts)
+    common = op2.common_buckets(frame.select("text"), 3)
+    counts = {}
+    for s in {frozenset(shingle_set(t, 3)) for t in texts}:
+        for g in s:
+            counts[g] = counts.get(g, 0) + 1
+    assert len(common) == sum(c >= 3 for c in counts.values()) > 100
+    got = op2.jaccard_components(frame, k=3, percent=90).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(texts, 3, 90)
+
+
+def test_rows_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(5, a), (5, b), (7, a + " tail"), (3, b), (9, c), (None, a), (8, c + " end"), (8, None)]
+    got = op2.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=90).collect()
+    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in got if r.component_id is not None) == [(3, 48, 3), (5, 48, 3), (5, 48, 3), (7, 49, 3), (8, 0, 8), (8, 49, 8), (9, 48, 8)]
+
+
+def test_group_above_the_chunk_size(spark, docs):
+    """Near copies of one text, more than a chunk holds, and some that reach the group through one other only."""
+    r = random.Random(3)
+    base = [f"v{i}" for i in range(120)]
+    texts = [" ".join(w if r.random() > 0.004 else f"x{r.randrange(10**6)}" for w in base) + f" end{i}" for i in range(op2.CHUNK_DOCS + 300)]
+    texts += [" ".join(base[:60] + [f"z{j}{i}" for i in range(60)]) for j in range(20)]
+    got = op2.jaccard_components(docs(spark, texts), k=3, percent=90).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute(texts, 3, 90)
 
 
 def test_keep_first(spark, docs):
