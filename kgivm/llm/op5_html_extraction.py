@@ -2,10 +2,14 @@
 
 Every page is parsed into elements whose subtrees (tag, attributes, text,
 children) are hashed. Spark counts, per host, on how many pages a subtree
-stands; subtrees on many pages of a host are template and are deleted. So are
-elements that are furniture by their tag, role or class (menus, forms,
-comments, adverts ...). What is left of the page's articles is its text; of the
-whole body on pages without an article.
+stands; subtrees on many pages of a host are template and are deleted from the
+whole page. Only then are the page's articles looked for in what is left (the
+whole body on pages without one), and elements that are furniture by their tag,
+role or class (menus, forms, comments, adverts ...) go too: that complements the
+counts where a host has few pages or a box differs from page to page.
+
+A subtree is template if it stands on ``min_pages`` pages and ``min_percent`` of
+its host's; on smaller hosts, on ``FEW_PAGES`` and ``FEW_PERCENT`` of them.
 
 Inside an article, paragraphs, headings, lists, quotes and tables are content
 even when many pages carry them (copies of one article on a host are no
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 
 from kgivm.llm import scratch
 
-MIN_PAGES, MIN_PERCENT, SENT_HASHES = 10, 5, 500_000
+MIN_PAGES, MIN_PERCENT = 10, 5
+FEW_PAGES, FEW_PERCENT = 3, 60
 RAW = "script|style|noscript|template|iframe|object|svg|textarea|select|title"
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*+(?:>|\Z).*?(?:</\1(?=[\s/>])[^>]*+(?:>|\Z)|\Z)|<[!?/](?![A-Za-z])[^>]*+(?:>|\Z)|<![^>]*+(?:>|\Z)"
@@ -113,13 +118,20 @@ class Page:
                 return True
         return False
 
-    def roots(self) -> list[int]:
-        """The page's articles (else its main part, else all of it), without furniture."""
+    def template(self, template: frozenset[int]) -> set[int]:
+        """The elements that are template."""
+        if not template:
+            return set()
+        prints = self.prints()
+        return {i for i in self.boxes(self.roots(set())) if prints[i] in template}
+
+    def roots(self, gone: set[int]) -> list[int]:
+        """The page's articles (else its main part, else all of it), without template and furniture."""
         found: dict[str, list[int]] = {"article": [], "main": []}
         i = 0
         while i < len(self.tag):
             tag = self.tag[i]
-            if tag[0] != "#" and tag not in ("html", "body") and self.furniture(i, False):
+            if i in gone or tag[0] != "#" and tag not in ("html", "body") and self.furniture(i, False):
                 i = self.end[i]
                 continue
             if tag == "article":
@@ -166,12 +178,12 @@ class Page:
             i += 1
         return out
 
-    def text(self, template: frozenset[int]) -> str:
-        roots = self.roots()
-        gone: set[int] = set()
-        if template:
-            prints = self.prints()
-            gone = {i for i in self.boxes(roots) if prints[i] in template}
+    def text(self, template: frozenset[int], lists: bool = True) -> str:
+        """What is left without template; ``lists``: and without what only tags, roles and classes tell."""
+        return self.rest(self.template(template), lists)
+
+    def rest(self, gone: set[int], lists: bool = True) -> str:
+        roots = self.roots(gone) if lists else [0]
         blocks, now = [], []
 
         def flush():
@@ -193,7 +205,7 @@ class Page:
                 tag = self.tag[i]
                 if tag == "#text":
                     now.append(entities.unescape(self.body[i]) if "&" in self.body[i] else self.body[i])
-                elif tag != "#root" and i != root and (i in gone or self.furniture(i, inside)):
+                elif tag != "#root" and i != root and (i in gone or lists and self.furniture(i, inside)):
                     if tag in BLOCK:
                         flush()
                     i = self.end[i]
@@ -220,7 +232,7 @@ def template_counts(pages: DataFrame, *, url: str = "url", html: str = "html", m
             for source in batch.column(2).to_pylist():
                 page = Page(source)
                 prints = page.prints()
-                out.append(sorted({prints[i] - (1 << 63) for i in page.boxes(page.roots())}))
+                out.append(sorted({prints[i] - (1 << 63) for i in page.boxes(page.roots(set()))}))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["content", "host", "hashes"])
 
     found = scratch.saved(src.mapInArrow(hashes, "content long, host string, hashes array<long>"))
@@ -228,43 +240,42 @@ def template_counts(pages: DataFrame, *, url: str = "url", html: str = "html", m
     stands = found.select("host", "content", F.explode("hashes").alias("hash"))
     # copies of a page (same address and source) count once: rows of one content go together before the count
     per_hash = stands.groupBy("host", "hash").agg(F.count("*").alias("rows"))
-    maybe = per_hash.where(F.col("rows") >= min_pages)
+    maybe = per_hash.where(F.col("rows") >= min(min_pages, FEW_PAGES))
     exact = stands.join(maybe.select("host", "hash"), ["host", "hash"], "left_semi").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
-    many = exact.join(total, "host").where((F.col("n") >= min_pages) & (100 * F.col("n") >= min_percent * F.col("pages")))
+    often = lambda least, percent: (F.col("n") >= least) & (100 * F.col("n") >= percent * F.col("pages"))
+    many = exact.join(total, "host").where(often(min_pages, min_percent) | often(FEW_PAGES, FEW_PERCENT))
     return stands, many.select("host", "hash")
 
 
 def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", **options) -> DataFrame:
-    """``key``, ``url``, text and n_chars of every row.
+    """``key``, ``url``, text, n_chars and n_template (template subtrees deleted) of every row.
 
     A subtree is template on min_percent of its host's pages at least, so a host
-    has no more than 100 / min_percent times its mean number of boxes. Up to
-    ``SENT_HASHES`` of all hosts together are sent to the tasks; beyond that the
-    pages are joined with their own.
+    has no more than 100 / min_percent times its mean number of boxes: one row
+    of hashes for each host, which the pages are joined with (Spark sends it to
+    the tasks if it is small).
     """
-    stands, template = template_counts(pages, url=url, html=html, **options)
-    template = scratch.saved(template)
-    src = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"), F.xxhash64(url, html).alias("content"), _host(url).alias("host"))
+    _, template = template_counts(pages, url=url, html=html, **options)
+    lists = scratch.saved(template.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("hashes")))
+    src = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"), _host(url).alias("host"))
     kind, url_kind = (src.schema[c].dataType.simpleString() for c in ("k", "u"))
-    sent = None
-    if template.count() <= SENT_HASHES:
-        found: dict[str, list[int]] = {}
-        for r in template.toLocalIterator():
-            found.setdefault(r.host, []).append(r.hash + (1 << 63))
-        sent = pages.sparkSession.sparkContext.broadcast({h: frozenset(x) for h, x in found.items()})
-        rows = src.select("k", "u", "html", "host")
-    else:
-        lists = stands.join(template, ["host", "hash"]).distinct().groupBy("content").agg(F.collect_list("hash").alias("hashes"))
-        rows = src.join(lists, "content", "left").select("k", "u", "html", "hashes")
+    rows = src.join(lists, "host", "left").select("k", "u", "html", "host", "hashes")
 
     def read(batches):
+        known: dict[str, frozenset[int]] = {}
         for batch in batches:
-            last = batch.column(3).to_pylist()
-            gone = [sent.value.get(h, frozenset()) for h in last] if sent else [frozenset(h + (1 << 63) for h in t or ()) for t in last]
-            out = [Page(s).text(t) for s, t in zip(batch.column(2).to_pylist(), gone)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["k", "u", "text", "n_chars"])
+            out, gone = [], []
+            for source, host, hashes in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                if host not in known:
+                    known[host] = frozenset(h + (1 << 63) for h in hashes or ())
+                page = Page(source)
+                template = page.template(known[host])
+                out.append(page.rest(template))
+                gone.append(len(template))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64()), pa.array(gone, pa.int64())], ["k", "u", "text", "n_chars", "n_template"])
 
-    return rows.mapInArrow(read, f"k {kind}, u {url_kind}, text string, n_chars long").withColumnsRenamed({"k": key, "u": url})
+    got = rows.mapInArrow(read, f"k {kind}, u {url_kind}, text string, n_chars long, n_template long")
+    return got.withColumnsRenamed({"k": key, "u": url})
 
 
 def op5_html_extraction(spark, sf_dir: str) -> DataFrame:
