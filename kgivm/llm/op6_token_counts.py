@@ -1,10 +1,10 @@
 """Token counts with a whole-token shortcut.
 
-``whole_tokens`` proves once, on the driver, which vocabulary strings encode
-alone as a single token: each such string is run through the merges. Its result
-(at most one entry per vocabulary entry) seeds the executors' pre-token caches,
-so matching pre-tokens count as one without merging; only the rest is merged,
-once per distinct pre-token and worker.
+``whole_tokens`` proves once, before the job, which vocabulary strings encode
+alone as a single token: each such string is run through the merges. The result
+(at most one entry per vocabulary entry) is a read-only table of fingerprints and
+ids that is sent to the tasks and never evicted, so matching pre-tokens count as
+one without merging; only the rest is merged, and kept in a cache of its own.
 
 Null and empty texts have 0 bytes and 0 tokens; repeated rows each give a row;
 extra columns of the input are ignored.
@@ -17,19 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgivm.llm.pretokens import encoder
+from kgivm.llm.pretokens import encoder, string_prints
 
 OVER = 1024
 
 
-def whole_tokens(path: str, style: str = "byte") -> list[str]:
-    """Vocabulary strings that, standing alone as a pre-token, encode to exactly one token."""
+def whole_tokens(path: str, style: str = "byte") -> dict[str, int]:
+    """Vocabulary strings that, standing alone as a pre-token, encode to exactly one token, and its id."""
     from kgivm.llm.pretokens import VISIBLE, Encoder
 
     enc = Encoder(path, style)
     plain = {chr(v): k for k, v in VISIBLE.items()}
     merge = enc.lib.model.tokenize
-    proven = []
+    proven = {}
     for token in enc.lib.get_vocab(with_added_tokens=False):
         if token.endswith("</w>"):
             token = token[:-4]
@@ -37,19 +37,29 @@ def whole_tokens(path: str, style: str = "byte") -> list[str]:
             text = bytes(plain.get(c, ord(c)) for c in token).decode()
         except (UnicodeDecodeError, ValueError):
             continue
-        if text and len(merge(token)) == 1 and len(enc.lib.pre_tokenizer.pre_tokenize_str(text)) == 1:
-            proven.append(text)
+        # merged as the pre-token that stands in a text
+        got = merge(text.encode().decode("latin-1").translate(VISIBLE))
+        if text and len(got) == 1 and len(enc.lib.pre_tokenizer.pre_tokenize_str(text)) == 1:
+            proven[text] = got[0].id
     return proven
 
 
+def proven_table(path: str, style: str = "byte") -> tuple[np.ndarray, np.ndarray]:
+    """Ascending fingerprints and ids of the proven strings."""
+    proven = whole_tokens(path, style)
+    prints = string_prints(list(proven))
+    order = np.argsort(prints)
+    return prints[order], np.fromiter(proven.values(), np.int32, len(proven))[order]
+
+
 def token_counts(docs: DataFrame, path: str, *, style: str = "byte", text: str = "text", key: str = "doc_id", limit: int = OVER) -> DataFrame:
     """``key``, n_bytes, n_tokens, over_limit of every row of ``docs``."""
-    proven = whole_tokens(path, style)
+    prints, ids = proven_table(path, style)
 
     def count(batches):
         enc = encoder(path, style)
-        if not enc.seeded:
-            enc.seed(proven)
+        if len(enc.proven) != len(prints):
+            enc.seed(prints, ids)
         for batch in batches:
             tokens = np.zeros(batch.num_rows, np.int64)
             column = batch.column(1)

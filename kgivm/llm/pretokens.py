@@ -29,6 +29,13 @@ _SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 VISIBLE = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
 
 
+def string_prints(strings: list[str]) -> np.ndarray:
+    """The fingerprints under which pre-tokens are looked up."""
+    points = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32)
+    ends = np.cumsum([0, *map(len, strings)])
+    return Prints(mix(points.astype(U) + SALT)).of(ends[:-1], ends[1:])
+
+
 class Encoder:
     """``style`` 'byte': white space joins the next pre-token, numbers run on. 'word': white space is dropped, every number character is alone."""
 
@@ -39,15 +46,17 @@ class Encoder:
         self.style = style
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.kinds = np.zeros(0x110000, np.uint8)
-        self.seeded = False
+        self.proven = np.zeros(0, U)
+        self.proven_ids = np.zeros(0, np.int32)
         self.clear()
 
     def clear(self) -> None:
+        """Empty the cache of merged pre-tokens; proven ones stay."""
         self.keys = np.zeros(SLOTS, U)
         self.at = np.zeros(SLOTS, np.int64)
         self.count = np.zeros(SLOTS, np.int32)
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.used = 0
+        self.flat = np.concatenate([self.proven_ids, np.zeros(1 << 16, np.int32)])
+        self.used = len(self.proven)
         self.misses = 0
 
     def learn(self, strings: list[str]) -> np.ndarray:
@@ -62,15 +71,10 @@ class Encoder:
         self.misses += len(strings)
         return ends
 
-    def seed(self, proven: list[str]) -> None:
-        """Enter strings that are known to be one token each."""
-        points = np.frombuffer("".join(proven).encode("utf-32-le"), np.uint32)
-        ends = np.cumsum([0, *map(len, proven)])
-        prints = Prints(mix(points.astype(U) + SALT)).of(ends[:-1], ends[1:])
-        at = self.learn(proven)
-        slot = (prints >> U(44)).astype(np.int64)
-        self.keys[slot], self.at[slot], self.count[slot] = prints, at[:-1], 1
-        self.seeded = True
+    def seed(self, prints: np.ndarray, ids: np.ndarray) -> None:
+        """Enter the table of pre-tokens (ascending fingerprints) that are known to be one token each. It is read only and never evicted."""
+        self.proven, self.proven_ids = prints, ids
+        self.clear()
 
     def classify(self, points: np.ndarray) -> np.ndarray:
         """Character classes, asked from the library's own pre-tokeniser once per character."""
@@ -202,8 +206,10 @@ class Encoder:
         if len(miss):
             found, where, back = np.unique(prints[miss], return_index=True, return_inverse=True)
             where = miss[where]
-            ends = self.learn([text[a:b] for a, b in zip(s[where].tolist(), e[where].tolist())])
-            new_at, new_count = ends[:-1], np.diff(ends).astype(np.int32)
+            new_at, new_count = np.searchsorted(self.proven, found), np.ones(len(found), np.int32)
+            merge = self.proven[np.minimum(new_at, len(self.proven) - 1)] != found if len(self.proven) else np.ones(len(found), bool)
+            ends = self.learn([text[a:b] for a, b in zip(s[where[merge]].tolist(), e[where[merge]].tolist())])
+            new_at[merge], new_count[merge] = ends[:-1], np.diff(ends).astype(np.int32)
             at[miss], count[miss] = new_at[back], new_count[back]
             to = (found >> U(44)).astype(np.int64)
             self.keys[to], self.at[to], self.count[to] = found, new_at, new_count

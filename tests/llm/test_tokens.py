@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from kgivm.llm import scratch
 from kgivm.llm.op1_curve_packing import curve_packing, hilbert
-from kgivm.llm.op6_token_counts import token_counts, whole_tokens
+from kgivm.llm.op6_token_counts import proven_table, token_counts, whole_tokens
 from kgivm.llm.op8_token_files import read_index, read_tokens, token_digest, write_tokens
 from kgivm.llm.pretokens import Encoder
 
@@ -53,7 +53,20 @@ def test_whole_tokens_are_proven():
     lib = Tokenizer.from_file(BYTE)
     proven = whole_tokens(BYTE)
     assert len(proven) > 40_000
-    assert all(len(lib.encode(t, add_special_tokens=False).ids) == 1 for t in proven[::97])
+    assert all(lib.encode(t, add_special_tokens=False).ids == [proven[t]] for t in list(proven)[::97])
+
+
+def test_proven_tokens_need_no_merging_and_stay():
+    lib, enc, whole = Tokenizer.from_file(BYTE), Encoder(BYTE, "byte"), whole_tokens(BYTE)
+    enc.seed(*proven_table(BYTE))
+    words = [t for t in whole if t.isalpha() and t.isascii()][:5000:7]
+    for _ in range(2):
+        for text, merged in (("".join(" " + w for w in words if " " + w in whole), False), (" qqzzqvxj kkqwzzj", True)):
+            data = np.frombuffer(text.encode(), np.uint8)
+            ids, bounds = enc.encode(data, np.array([0, len(data)]), None)
+            assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids and bounds.tolist() == [0, len(ids)]
+            assert (enc.misses > 0) == merged
+        enc.clear()
 
 
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
