@@ -16,8 +16,10 @@ are repeats. The remaining intervals are cut finer, until they are single
 windows and the shared bytes are the window itself.
 
 Fingerprints have 64 bits; equal ones count as equal strings. Null and empty
-texts lose nothing. Rows with one id count as one document: the same place in
-two of them is not "earlier". Null ids come first. Extra columns are ignored.
+texts lose nothing. Rows that agree in id and text are one document and agree in
+the result. Rows that share an id (or have none) with different texts are
+documents of their own, in the order of a hash of their texts. Null ids come
+first. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -152,10 +154,18 @@ def _round(states: DataFrame, width: int, was: int, length: int) -> tuple[DataFr
     return _later(s, groups, ["rank", "whole", "base"], length), groups
 
 
-def repeated_spans(docs: DataFrame, *, length: int = LENGTH, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, start, end: byte spans (they may overlap) of windows that also start earlier."""
-    spark = docs.sparkSession
+def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc, text. Where an id stands for several texts, doc is the pair of the id and a hash of the text."""
     src = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
+    print_ = F.xxhash64("text")
+    if src.groupBy("doc").agg(F.min(print_).alias("low"), F.max(print_).alias("high")).where("low <> high").isEmpty():
+        return src
+    return src.select(F.struct(F.col("doc").alias("id"), print_.alias("print")).alias("doc"), "text")
+
+
+def repeated_spans(src: DataFrame, *, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """doc, start, end: byte spans (they may overlap) of windows that also start earlier, of texts with one ``doc`` each."""
+    spark = src.sparkSession
     kind = src.schema["doc"].dataType.simpleString()
     twice = _seeds(src, length, seed, True).groupBy("rank").agg(F.count("*").alias("m")).where("m > 1").select("rank")
     found = _seeds(src, length, seed, False).join(twice, "rank", "left_semi")
@@ -181,9 +191,9 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, seed: int = SEED, k
 
 def removed(docs: DataFrame, *, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) of every row."""
-    src = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
+    src = _documents(docs, key, text)
     kind = src.schema["doc"].dataType.simpleString()
-    spans = scratch.saved(repeated_spans(docs, length=length, key=key, text=text).distinct())
+    spans = scratch.saved(repeated_spans(src, length=length).distinct())
     # neighbouring windows are joined where they were found, before a document's spans meet
     w = Window.partitionBy("doc").orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -218,6 +228,8 @@ def removed(docs: DataFrame, *, length: int = LENGTH, key: str = "doc_id", text:
             )
 
     out = joined.mapInArrow(strip, f"doc {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    if kind.startswith("struct<id:") and kind != docs.schema[key].dataType.simpleString():
+        out = out.withColumn("doc", F.col("doc.id"))
     return out.withColumnRenamed("doc", key)
 
 

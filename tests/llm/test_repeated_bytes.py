@@ -45,3 +45,14 @@ def test_equals_brute_force(spark, docs, seed):
 
 def test_no_documents(spark, docs):
     assert removed(docs(spark, [])).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    """Rows with one id, or none, and different texts are documents of their own."""
+    passage = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(160))
+    unique = "".join(chr(65 + (i * 7 + i // 26) % 26) + str(i) for i in range(150))
+    rows = [(1, passage), (5, passage + "!"), (5, unique), (None, "no copy"), (None, passage), (5, unique)]
+    got = removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = {(r.doc_id, r.n_bytes): r.n_removed for r in got}
+    assert len(got) == 6 and got[0].asDict().keys() >= {"doc_id", "n_spans", "kept_sha256"}
+    assert by == {(None, 7): 0, (None, 160): 0, (1, 160): 160, (5, 161): 160, (5, len(unique)): 0}
