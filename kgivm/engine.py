@@ -26,7 +26,7 @@ class Engine:
         if not clear:
             old = self.state
             tables = {t: old[t].unionByName(df) for t, df in tables.items()}
-        return self.store.commit(Graph(tables))["documents"].count()
+        return self.store.commit(Graph(tables, batch=self.state.batch))["documents"].count()
 
     def graph(self, fresh_only: bool = False) -> tuple[DataFrame, DataFrame]:
         return pv.graph_view(self.state, fresh_only)

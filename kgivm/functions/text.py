@@ -72,6 +72,7 @@ def phrase_occurs(text: Column, phrase: Column) -> Column:
     return F.regexp_like(text, F.concat(F.lit(r"(?U)(?<!\w)"), _quoted(phrase), F.lit(r"(?!\w)")))
 
 
+# The wordings that an instruction may have.
 REPLACE = r"(?i)\breplace\s+(.+?)\s+with\s+(.+)$"
 REMOVE = r"(?i)\b(?:remove|delete|drop)\s+(.+)$"
 

@@ -13,6 +13,8 @@ def pinned(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("kgivm.staging", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="kgivm-")
         spark.conf.set("kgivm.staging", base)
     path = f"{base.rstrip('/')}/kgivm-{uuid.uuid4().hex}"

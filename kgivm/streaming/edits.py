@@ -14,18 +14,14 @@ def edit_stream(spark: SparkSession, path: str, kind: str = "parquet") -> DataFr
     return spark.readStream.schema(EDIT).format(kind).load(path)
 
 
+def apply_once(store: Store, batch: DataFrame, number: int, mode: str = "immediate") -> bool:
+    """Apply a numbered batch unless the state holds it; an empty one changes nothing."""
+    if number <= store.load().batch or batch.isEmpty():
+        return False
+    run_batch(store, batch, mode, number=number)
+    return True
+
+
 def maintain(edits: DataFrame, store: Store, checkpoint: str, mode: str = "immediate", **trigger) -> StreamingQuery:
-    """Apply each micro-batch as one step. A batch that was committed before a failure is not applied again: its number is kept beside the store's state."""
-    done_path = f"{store.path}/applied"
-
-    def apply(batch: DataFrame, number: int) -> None:
-        done = store.spark.read.text(done_path, wholetext=True).first()[0] if store._fs.exists(store._path(done_path)) else "-1"
-        if number <= int(done):
-            return
-        if not batch.isEmpty():
-            run_batch(store, batch, mode)
-        out = store._fs.create(store._path(done_path), True)
-        out.write(bytearray(str(number).encode()))
-        out.close()
-
-    return edits.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    """Apply each micro-batch as one step, once only: its number is committed with the state by the same rename, so a batch that comes again after a failure finds itself applied or nothing of itself."""
+    return edits.writeStream.foreachBatch(lambda batch, number: apply_once(store, batch, number, mode)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -92,6 +92,16 @@ def test_strict_equals_batch_state(store, spark, edits, tmp_path):
         assert rows(a[t], key, "evidence_count") == rows(b[t], key, "evidence_count")
 
 
+def test_clone_is_independent_and_old_snapshots_go(store, spark, edits, tmp_path):
+    other = Store(spark, f"file://{tmp_path}/twin")
+    store.clone(other.path)
+    assert other.vacuum() == 0
+    run_batch(other, edits(("doc0", 1, "Poland", [])))
+    assert other.vacuum(keep=2) == 0 and other.vacuum() > 0 and other.vacuum() == 0
+    store.drop()
+    assert other.load()["sentences"].where("text = 'Poland'").count() == 1 and other.load().step == 1
+
+
 def test_status_null_is_followed_but_not_counted(store, edits):
     g = store.load()
     g = g.updated(mentions=g["mentions"].withColumn("status", F.lit(None).cast("string")))

@@ -139,6 +139,23 @@ def test_stream_and_engine(spark, tmp_path, store, edits):
     assert e.counts().agg(F.sum("rows")).first()[0] == 0
 
 
+def test_stream_batches_are_applied_once(store, edits, monkeypatch):
+    """A batch that fails before the pointer moves leaves nothing; one that fails after it is not applied again."""
+    from kgivm.store import Store
+    from kgivm.streaming.edits import apply_once
+
+    batch = edits(("doc0", 1, "Poland", []))
+    with monkeypatch.context() as m:
+        m.setattr(Store, "commit", lambda self, graph: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            apply_once(store, batch, 0)
+    assert (store.load().step, store.load().batch) == (0, -1)
+    assert apply_once(store, batch, 0) and not apply_once(store, batch, 0)
+    assert (store.load().step, store.load().batch) == (1, 0)
+    assert not apply_once(store, batch.limit(0), 1)
+    assert store.clear().batch == 0
+
+
 def test_cached_answers_and_outcomes(store, spark, edits):
     from kgivm.operators.pipeline import apply_batch
 
