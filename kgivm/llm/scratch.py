@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset, under a folder of our own."""
+    """A new path under spark.checkpoint.dir; where that is unset and Spark runs in one process, under a folder of our own."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("kgivm.scratch", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="kgivm-")
         spark.conf.set("kgivm.scratch", base)
     return f"{base.rstrip('/')}/kgivm-{uuid.uuid4().hex}"
