@@ -15,12 +15,12 @@ def test_baselines(store, spark, edits, kind):
     g = store.load()
     got = baselines.invalidate(g, spark.createDataFrame([("doc0:0",)], "s string"), 4, kind, max_depth=3)
     s = got.summary.first()
-    assert (s.stale_entities, s.stale_relations, s.stale_count, s.cost) == (["doc0:e0", "doc0:e1"], ["doc0:r0"], 3, 3)
+    assert (s.stale_entities, s.stale_relations, s.stale_count, s.cost) == (["doc0:e0", "doc0:e1", "doc0:e2"], ["doc0:r0"], 4, 4)
     assert rows(got.graph["entities"], "entity_id", "freshness_status", "last_changed_step")[0] == ("doc0:e0", "stale", 4)
     dry = baselines.invalidate(g, spark.createDataFrame([("doc0:0",)], "s string"), 4, kind, dry_run=True)
     assert dry.graph is g
     graph, cost = baselines.run_edits(g, edits(("doc0", 0, "new text", [])), 4, kind)
-    assert rows(cost, "this_step", "vs_full_rebuild") == [(3, 3)]
+    assert rows(cost, "this_step", "vs_full_rebuild") == [(4, 4)]
     assert graph["sentences"].where("sent_id = 'doc0:0'").first().text == "new text"
     with pytest.raises(ValueError):
         baselines.invalidate(g, spark.createDataFrame([("x",)], "s string"), 1, "other")
@@ -36,23 +36,23 @@ def test_consistency_finds_drift(store):
     assert consistency.check(bad, "doc1")[1].first().checked_relations == 0
     gone = g.updated(relations=g["relations"].withColumn("status", F.lit("removed")), entities=g["entities"].withColumn("freshness_status", F.lit("stale")))
     kinds = [r[0] for r in rows(consistency.check(gone, require_fresh=True)[0], "kind")]
-    assert kinds == ["relation_status"] * 2 + ["stale"] * 3
+    assert kinds == ["relation_status"] * 3 + ["stale"] * 4
 
 
 def test_rebuild_costs(store):
     g = store.load()
     doc, whole = consistency.object_counts(g).first(), consistency.object_counts(g, False).first()
-    assert (doc.objects, doc.rebuild_cost, whole.rebuild_cost) == (5, 25, 25)
+    assert (doc.objects, doc.rebuild_cost, whole.rebuild_cost) == (7, 35, 35)
 
 
 def test_pages_and_lookups(store):
     g = store.load()
-    assert rows(pv.evidence_page(g, 1, 1), "sent_id", "relation_count") == [("doc0:1", 1)]
+    assert rows(pv.evidence_page(g, 1, 1), "sent_id", "relation_count") == [("doc0:1", 2)]
     assert pv.evidence_page(g, 5, bearing=False).count() == 0
     with pytest.raises(ValueError):
         pv.sentence(g, "doc9", 0)
-    assert dict(rows(pv.counts(g), "name", "rows"))["entities"] == 3
-    assert [r.triples[0].asDict() for r in pv.current_triples(g).orderBy("sent_id").collect()][0] == {"head": "Marie Curie", "rel_type": "place of birth", "tail": "Warsaw"}
+    assert dict(rows(pv.counts(g), "name", "rows"))["entities"] == 4
+    assert [r.triples[0].asDict() for r in pv.current_triples(g).orderBy("sent_id").collect()][0] == {"head": "Aurelia", "rel_type": "manufacturer", "tail": "Lindqvist Yard"}
 
 
 def test_metrics(store):

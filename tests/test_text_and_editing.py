@@ -22,16 +22,16 @@ def names(value):
     return [(t.head, t.rel_type, t.tail) for t in value]
 
 
-BORN, CITIZEN, NEW = ("Marie Curie", "place of birth", "Warsaw"), ("Marie Curie", "country of citizenship", "Poland"), ("Marie Curie", "place of birth", "Paris")
+MADE, MOORED, NEW = ("Aurelia", "manufacturer", "Lindqvist Yard"), ("Aurelia", "moored at", "Norrhamn"), ("Aurelia", "manufacturer", "Sund Works")
 
 
 def test_scalars(spark):
     cases = [
-        (tx.normalize_name(F.lit("  Marie\t  CURIE ")), "marie curie"), (tx.remove_phrase(F.lit("Marie Curie was born in Warsaw ."), F.lit("Warsaw")), "Marie Curie was born in ."),
-        (tx.remove_phrase(F.lit("a (x) b"), F.lit("(x)")), "a b"), (tx.remove_phrase(F.lit("x, Warsaw, y Warsaw"), F.lit("Warsaw")), "x, y Warsaw"), (tx.replace_phrase(F.lit("in Warsaw, Warsawa"), F.lit("Warsaw"), F.lit("a$1\\b")), "in a$1\\b, Warsawa"),
+        (tx.normalize_name(F.lit("  Lake\t  VETTER ")), "lake vetter"), (tx.remove_phrase(F.lit("The ferry stops at Norrhamn ."), F.lit("Norrhamn")), "The ferry stops at ."),
+        (tx.remove_phrase(F.lit("a (x) b"), F.lit("(x)")), "a b"), (tx.remove_phrase(F.lit("x, Sund, y Sund"), F.lit("Sund")), "x, y Sund"), (tx.replace_phrase(F.lit("in Sund, Sunda"), F.lit("Sund"), F.lit("a$1\\b")), "in a$1\\b, Sunda"),
         (tx.phrase_occurs(F.lit("party"), F.lit("art")), False), (tx.cleanup(F.lit(" a  , , b ( ) ")), "a , b"), (tx.safe_key(F.lit("doc0:r_auto"), F.lit("doc0:e0"), F.lit("country"), F.lit("doc0:e2")), "doc0:r_auto_d3bc3dfc99c84f94"),
         (F.array_join(tx.focus_terms(F.lit("Replace A b with C")), ";"), "A b"), (F.array_join(tx.focus_terms(F.lit("drop X then replace A with B")), ";"), "A;X then replace A with B"), (tx.as_int(F.lit(" 12 ")), 12), (tx.as_int(F.lit("x")), 0),
-        (tx.in_doc(F.lit("doc10:1"), "doc1"), False), (tx.ratio(F.lit(1), F.lit(0)), None), (tx.json_object(F.lit("```json\n{\"a\": {}}\n```")), '{"a": {}}'), (tx.changed_value(F.lit("born in Warsaw"), F.lit("born in Wien"))["new"], "Wien"),
+        (tx.in_doc(F.lit("doc10:1"), "doc1"), False), (tx.ratio(F.lit(1), F.lit(0)), None), (tx.json_object(F.lit("```json\n{\"a\": {}}\n```")), '{"a": {}}'), (tx.changed_value(F.lit("moored in Sund"), F.lit("moored in Solvik"))["new"], "Solvik"),
     ]
     for got, want in cases:
         assert one(spark, got) == want, want
@@ -42,15 +42,15 @@ def test_json_triples(spark):
 
 
 def test_verifier(spark):
-    text = F.lit("Marie Curie of Poland was born in Warsaw")
+    text = F.lit("Lindqvist Yard sold Aurelia to Norrhamn")
     v = lambda current, t, cand, old=(): names(one(spark, editor.verify(triples(*current), t, triples(*cand), triples(*old))))
-    assert v([BORN, CITIZEN], text, [CITIZEN]) == [CITIZEN, BORN]
-    both = F.lit("Marie Curie, not of Warsaw, was born in Paris")
-    assert v([BORN], both, [NEW], [BORN]) == [NEW]
-    assert v([BORN], both, [NEW]) == [NEW, BORN]
-    assert v([BORN], F.lit("nothing"), []) == []
-    assert names(one(spark, tx.superseded(triples(BORN, CITIZEN), F.lit("Replace the old fact Marie Curie place of birth Warsaw. with Paris")))) == [BORN]
-    assert names(one(spark, tx.superseded(triples(BORN, CITIZEN), F.lit("rewrite it")))) == []
+    assert v([MADE, MOORED], text, [MOORED]) == [MOORED, MADE]
+    both = F.lit("Sund Works, not Lindqvist Yard, built Aurelia")
+    assert v([MADE], both, [NEW], [MADE]) == [NEW]
+    assert v([MADE], both, [NEW]) == [NEW, MADE]
+    assert v([MADE], F.lit("nothing"), []) == []
+    assert names(one(spark, tx.superseded(triples(MADE, MOORED), F.lit("Replace the old fact Aurelia manufacturer Lindqvist Yard. with Sund Works")))) == [MADE]
+    assert names(one(spark, tx.superseded(triples(MADE, MOORED), F.lit("rewrite it")))) == []
 
 
 def test_label_matching(spark):
@@ -63,10 +63,10 @@ def test_label_matching(spark):
 
 
 def test_canonical_triples(spark):
-    t = [(" Marie ", "born in", "Warsaw"), ("Marie", "place of birth", "Warsaw"), ("", "x", "y"), ("a", "nationality", "b"), ("a", "nationality", "b")]
+    t = [(" Sigrid ", "born in", "Sund"), ("Sigrid", "place of birth", "Sund"), ("", "x", "y"), ("a", "nationality", "b"), ("a", "nationality", "b")]
     frame = spark.range(1).select(F.col("id").alias("k"), triples(*t).alias("triples"))
     got = ontology.canonicalize(frame, spark.createDataFrame([], "position int, label string"), key="k").first().triples
-    assert names(got) == [("Marie", "place of birth", "Warsaw"), ("a", "country of citizenship", "b")]
+    assert names(got) == [("Sigrid", "place of birth", "Sund"), ("a", "country of citizenship", "b")]
 
 
 def test_search(spark):
@@ -74,7 +74,7 @@ def test_search(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, query_vector array<double>")
     assert [r.sent_id for r in retrieval.search(rows, q, key="sent_id").orderBy("rank").collect()] == ["a", "b"]
     assert [r.sent_id for r in retrieval.search(rows, q, key="sent_id", threshold=0.5).collect()] == ["a"]
-    e = vx.hashed_embedding(F.lit("Schneider coached a skeleton team"))
+    e = vx.hashed_embedding(F.lit("Seven ferries wait for the ice to break"))
     assert one(spark, F.size(e)) == 384 and one(spark, vx.cosine(e, e)) > 0.99
     assert one(spark, vx.norm(vx.hashed_embedding(F.lit("...")))) == 0.0
     assert one(spark, vx.cosine(F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(2.0)))) == 0.0
@@ -82,15 +82,15 @@ def test_search(spark):
 
 def test_document_instruction(store, spark):
     g = retrieval.store_embeddings(store.load())
-    ask = spark.createDataFrame([(0, "doc0", "remove Warsaw")], "instruction_id int, doc_id string, instruction string")
+    ask = spark.createDataFrame([(0, "doc0", "remove Norrhamn")], "instruction_id int, doc_id string, instruction string")
     got = editor.build_edits(g, ask).orderBy("edit_seq").collect()
-    assert [(r.sent_idx, r.new_text, len(r.intended_triples)) for r in got] == [(0, "Marie Curie was born in .", 0), (1, "is the capital of Poland .", 0)]
-    swap = spark.createDataFrame([(0, "doc0", "replace Warsaw with Paris")], "instruction_id int, doc_id string, instruction string")
-    assert [r.new_text for r in editor.build_edits(g, swap, selector="embedding", limit=1).collect()][0].count("Paris") == 1
+    assert [(r.sent_idx, r.new_text, len(r.intended_triples)) for r in got] == [(0, "Lindqvist Yard built the ferry Aurelia in .", 1), (1, "lies on Lake Vetter .", 0)]
+    swap = spark.createDataFrame([(0, "doc0", "replace Norrhamn with Sundvik")], "instruction_id int, doc_id string, instruction string")
+    assert [r.new_text for r in editor.build_edits(g, swap, selector="embedding", limit=1).collect()][0].count("Sundvik") == 1
     with pytest.raises(ValueError):
         editor.build_edits(g, ask, input_kind="fact")
-    assert retrieval.embedded(g).first().embedded == 2
-    edits = spark.createDataFrame([("doc0", 0, "Marie Curie was born in Warsaw .")], "doc_id string, sent_idx int, new_text string")
+    assert retrieval.embedded(g).first().embedded == 3
+    edits = spark.createDataFrame([("doc0", 0, "Lindqvist Yard built the ferry Aurelia in Norrhamn .")], "doc_id string, sent_idx int, new_text string")
     assert retrieval.similar_after_edit(g, edits).first().is_similar
 
 
@@ -98,13 +98,14 @@ def test_workload(store):
     g = store.load()
     work = benchmark.workload(g, 1)
     got = {r.scenario: r for r in work.collect()}
-    assert set(got) == {"semantic_noop", "remove_relation"} and got["remove_relation"].new_text == "Warsaw is the capital of ."
+    assert set(got) == {"semantic_noop", "remove_relation", "change_relation_tail"} and got["remove_relation"].new_text == "Norrhamn lies on ."
+    assert got["change_relation_tail"].new_text == "Each summer Aurelia crosses Benchmark Entity 3 ."
     result, rows = benchmark.compare(g, work)
     noop = rows.where("scenario = 'semantic_noop'").first()
-    assert (noop.ours_cost, noop.skip, noop.unchanged, noop.b1_reachable, noop.document_cost) == (0, 3, 3, 3, 25)
+    assert (noop.ours_cost, noop.skip, noop.unchanged, noop.b1_reachable, noop.document_cost) == (0, 4, 4, 4, 35)
     total = {r.scenario: r for r in evaluation.scenario_summary(rows).collect()}
-    assert total[None].edits == 2 and total["semantic_noop"].b1_over_ours is None
-    assert benchmark.triples_changed(work).count() == 1
+    assert total[None].edits == 3 and total["semantic_noop"].b1_over_ours is None
+    assert benchmark.triples_changed(work).count() == 4
     assert benchmark.decision_audit(result).where("missing").count() == 0
 
 
@@ -128,13 +129,13 @@ def test_stream_and_engine(spark, tmp_path, store, edits):
     from kgivm.engine import Engine
     from kgivm.streaming.edits import edit_stream, maintain
 
-    edits(("doc0", 0, "Marie Curie was born in .", [])).write.parquet(str(tmp_path / "in"))
+    edits(("doc0", 0, "Lindqvist Yard stands alone.", [])).write.parquet(str(tmp_path / "in"))
     maintain(edit_stream(spark, str(tmp_path / "in")), store, str(tmp_path / "ck")).awaitTermination()
     e = Engine(spark, store.path)
     assert e.state.step == 1 and e.metrics().first().REBUILD == 1
     assert e.check(require_fresh=True)[1].first().consistent
-    assert e.deltas(1).count() == 3 and e.decisions(2).count() == 0
-    assert e.graph()[1].count() == 1 and e.baseline(spark.createDataFrame([("doc0:1",)], "s string")).first().stale_count == 3
+    assert e.deltas(1).count() == 4 and e.decisions(2).count() == 0
+    assert e.graph()[1].count() == 2 and e.baseline(spark.createDataFrame([("doc0:1",)], "s string")).first().stale_count == 4
     e.reset()
     assert e.counts().agg(F.sum("rows")).first()[0] == 0
 
@@ -144,7 +145,7 @@ def test_stream_batches_are_applied_once(store, edits, monkeypatch):
     from kgivm.store import Store
     from kgivm.streaming.edits import apply_once
 
-    batch = edits(("doc0", 1, "Poland", []))
+    batch = edits(("doc0", 1, "Lake Vetter", []))
     with monkeypatch.context() as m:
         m.setattr(Store, "commit", lambda self, graph: 1 / 0)
         with pytest.raises(ZeroDivisionError):
@@ -160,13 +161,13 @@ def test_cached_answers_and_outcomes(store, spark, edits):
     from kgivm.operators.pipeline import apply_batch
 
     g = store.load()
-    ask = spark.createDataFrame([(0, "doc0", "remove Warsaw")], "instruction_id int, doc_id string, instruction string")
-    answers = spark.createDataFrame([("m", "doc0:0", "remove Warsaw", "From a cache.", [], True), ("other", "doc0:1", "remove Warsaw", "no", [], True)], f"provider string, sent_id string, instruction string, new_text string, candidate {TRIPLES}, applies boolean")
+    ask = spark.createDataFrame([(0, "doc0", "remove Norrhamn")], "instruction_id int, doc_id string, instruction string")
+    answers = spark.createDataFrame([("m", "doc0:0", "remove Norrhamn", "From a cache.", [], True), ("other", "doc0:1", "remove Norrhamn", "no", [], True)], f"provider string, sent_id string, instruction string, new_text string, candidate {TRIPLES}, applies boolean")
     got = editor.build_edits(g, ask, provider=editor.cached(editor.heuristic, answers, "m")).orderBy("sent_idx").collect()
-    assert [r.new_text for r in got] == ["From a cache.", "is the capital of Poland ."]
+    assert [r.new_text for r in got] == ["From a cache.", "lies on Lake Vetter ."]
 
-    result = apply_batch(g, edits(("doc0", 0, "Marie Curie was born in Paris", [NEW]), ("doc0", 1, "Poland", [])), 1)
-    cases = spark.createDataFrame([(0, BORN, NEW, 1), (1, ("Warsaw", "country", "Poland"), NEW, 2)], "edit_seq long, old struct<head:string,rel_type:string,tail:string>, new struct<head:string,rel_type:string,tail:string>, active_before int")
+    result = apply_batch(g, edits(("doc0", 0, "Sund Works built Aurelia", [NEW]), ("doc0", 1, "Lake Vetter", [])), 1)
+    cases = spark.createDataFrame([(0, MADE, NEW, 1), (1, ("Norrhamn", "lies by", "Lake Vetter"), NEW, 2)], "edit_seq long, old struct<head:string,rel_type:string,tail:string>, new struct<head:string,rel_type:string,tail:string>, active_before int")
     out = {r.edit_seq: r for r in evaluation.edit_outcomes(result, cases).collect()}
     assert (out[0].delta_correct, out[0].decision_correct) == (True, True)
     assert (out[1].old_removed, out[1].new_added, out[1].old_decision) == (True, False, False)
