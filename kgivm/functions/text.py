@@ -137,8 +137,11 @@ def percent_reduction(ours: Column, other: Column) -> Column:
 
 
 def as_int(c: Column) -> Column:
-    """A lenient integer; 0 where there is none."""
-    return F.coalesce(F.try_to_number(F.trim(c.cast("string")), F.lit("S9999999999999999999")).cast("long"), F.lit(0).cast("long"))
+    """A lenient integer: whole numbers as they are, decimal and exponent forms without their fraction, 0 for anything else."""
+    value = F.trim(c.cast("string"))
+    number = value.try_cast("double")
+    whole = F.when(F.abs(number) < 2.0**63, number.try_cast("long"))
+    return F.coalesce(F.try_to_number(value, F.lit("S9999999999999999999")).try_cast("long"), whole, F.lit(0).cast("long"))
 
 
 def is_property_id(c: Column) -> Column:

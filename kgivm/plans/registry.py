@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgivm.plans import star_queries, text_queries
+from kgivm.plans import maintenance_queries, star_queries, text_queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return star_queries.QUERIES | text_queries.QUERIES
+    return star_queries.QUERIES | text_queries.QUERIES | maintenance_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return star_queries.ORACLES | text_queries.ORACLES
+    return star_queries.ORACLES | text_queries.ORACLES | maintenance_queries.ORACLES

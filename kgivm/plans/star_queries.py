@@ -11,6 +11,7 @@ from kgivm.operators import provenance as pv
 from kgivm.operators.pipeline import apply_batch
 from kgivm.sources.star import BATCH_SQL, SQL, star_edits, star_graph
 from kgivm.sources.tables import table
+from kgivm.staging import pinned
 
 QUERIES, ORACLES = {}, {}
 
@@ -105,8 +106,8 @@ def current_triples(spark, sf_dir) -> DataFrame:
 
 
 def _batch(spark, sf_dir, mode="immediate"):
-    g = star_graph(spark, sf_dir)
-    edits = star_edits(g, sf_dir)
+    g = star_graph(spark, sf_dir, pinned)
+    edits = pinned(star_edits(g, sf_dir))
     return g, edits, apply_batch(g, edits, 1, mode)
 
 

@@ -8,6 +8,8 @@ every tenth order, by turns unchanged, emptied, or moved to the next part.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,16 +37,18 @@ relations AS (
 """
 
 
-def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
+def star_graph(spark: SparkSession, sf_dir: str, pin: Callable[[DataFrame], DataFrame] = lambda df: df) -> Graph:
+    """The graph; ``pin`` ends the lineage of what is aggregated, for callers that read the tables many times."""
     raw = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.col("l_partkey").alias("p"), F.col("l_linestatus").alias("ls"), "l_returnflag")
     line = raw.groupBy("s", "o", "l", "p", "ls").agg(F.when(F.every(F.col("l_returnflag") == "R"), "removed").otherwise("active").alias("status"))
     doc = F.concat(F.lit("doc"), "s")
-    line = line.withColumn("doc_id", doc).withColumn("src", F.concat(doc, F.lit(":"), F.concat_ws("-", "o", "l", "p")))
+    line = pin(line.withColumn("doc_id", doc).withColumn("src", F.concat(doc, F.lit(":"), F.concat_ws("-", "o", "l", "p"))))
     step = (F.lit(0).alias("added_step"), F.lit(None).cast("int").alias("removed_step"))
     supports = line.select(F.concat_ws("#", "src", "ls").alias("edge_id"), "src", F.concat("doc_id", F.lit(":r"), "p", F.lit("_"), "ls").alias("dst"), F.col("ls").alias("rel_type"), "status", *step)
     part = F.concat(F.lit("part "), "p")
     mentions = line.groupBy("src", "doc_id", "p").agg(F.when(F.every(F.col("status") == "removed"), "removed").otherwise("active").alias("status"))
     mentions = mentions.select(F.concat("src", F.lit("#m")).alias("edge_id"), "src", F.concat("doc_id", F.lit(":e"), "p").alias("dst"), part.alias("surface"), "status", *step)
+    mentions = pin(mentions)
     text = F.concat(F.lit("supplier "), "s", F.lit(" ships part "), "p", F.lit("."))
     sentences = line.select("src", "doc_id", "s", "o", "l", "p").distinct().select(
         F.col("src").alias("sent_id"), "doc_id", F.lit(None).cast("int").alias("idx"), text.alias("text"), tx.text_hash(text).alias("text_hash"), F.lit("active").alias("status"), F.lit(0).alias("last_changed_step"),
@@ -62,7 +66,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
         "evidence_count", "freshness_status", F.when(F.col("evidence_count") == 0, "removed").otherwise("active").alias("status"), F.lit(0).alias("last_changed_step"),
     )
     empty = {t: spark.createDataFrame([], TABLES[t]) for t in ("documents", "evidence_deltas", "refresh_decisions")}
-    return Graph(empty | {"sentences": sentences, "entities": parts.unionByName(suppliers), "relations": relations, "mentions": mentions, "sentence_supports_relation": supports})
+    return Graph(empty | {"sentences": pin(sentences), "entities": pin(parts.unionByName(suppliers)), "relations": pin(relations), "mentions": mentions, "sentence_supports_relation": supports})
 
 
 def star_edits(g: Graph, sf_dir: str) -> DataFrame:
