@@ -16,7 +16,7 @@ def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="kgivm", description=__doc__)
     parser.add_argument("store")
     sub = parser.add_subparsers(dest="command", required=True)
-    for name in ("init", "reset", "counts", "embed", "check"):
+    for name in ("init", "reset", "counts", "embed", "check", "index"):
         sub.add_parser(name)
     p = sub.add_parser("ingest")
     p.add_argument("path")
@@ -60,6 +60,8 @@ def main(args: list[str] | None = None) -> None:
         show(e.counts())
     elif a.command == "embed":
         show(e.embed())
+    elif a.command == "index":
+        print(e.index())
     elif a.command == "check":
         show(*e.check())
     elif a.command == "ingest":

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kgivm.operators import baselines, consistency, editor, evaluation, pipeline, retrieval
+from kgivm.functions import text as tx
+from kgivm.functions import vectors as vx
+from kgivm.operators import baselines, consistency, editor, evaluation, pipeline, retrieval, vector_index
 from kgivm.operators import provenance as pv
 from kgivm.sources import corpus
 from kgivm.store import Graph, Store
@@ -73,6 +76,15 @@ class Engine:
     def search(self, queries: DataFrame, **options) -> DataFrame:
         return retrieval.semantic_search(self.state, queries, **options)
 
+    def index(self, lists: int | None = None) -> str:
+        """Build the index over the stored vectors; its status. An edit does not change an index, so build it again after edits."""
+        return vector_index.build(self.state["sentences"].select("sent_id", "doc_id", "idx", "text", "embedding"), f"{self.store.path}/index", lists=lists).status
+
+    def indexed_search(self, queries: DataFrame, *, limit: int = 5, threshold: float | None = None, probes: int | None = None) -> DataFrame:
+        """As ``search``, over the lists nearest to each query."""
+        vectors = queries.where(tx.strip(F.col("query")) != "").select("query_id", vx.hashed_embedding(F.col("query")).alias("query_vector"))
+        return vector_index.search(vector_index.load(self.spark, f"{self.store.path}/index"), vectors, key="sent_id", limit=limit, threshold=threshold, probes=probes)
+
     def counts(self) -> DataFrame:
         return pv.counts(self.state)
 

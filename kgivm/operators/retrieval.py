@@ -34,10 +34,10 @@ def store_embeddings(g: Graph, doc_id: str | None = None) -> Graph:
 
 
 def embedded(g: Graph) -> DataFrame:
-    """One row: sentences with a vector, its dimension, and the list count an inverted file would get."""
+    """One row: sentences with a vector, its dimension, the list count an inverted file would get, and whether one can be built (see ``vector_index``)."""
     n = F.count("embedding")
     lists = F.when(n > 0, F.greatest(F.lit(1), F.least(n, F.round(15 * F.sqrt(n)).cast("long"))))
-    return g["sentences"].agg(n.alias("embedded"), F.max(F.size("embedding")).alias("dimension"), lists.alias("lists"), F.when(n > 0, "exists").otherwise("missing_embeddings").alias("status"))
+    return g["sentences"].agg(n.alias("embedded"), F.max(F.size("embedding")).alias("dimension"), lists.alias("lists"), F.when(n > 0, "embedded").otherwise("missing_embeddings").alias("status"))
 
 
 def search(rows: DataFrame, queries: DataFrame, *, key: str, limit: int = 5, threshold: float | None = None) -> DataFrame:

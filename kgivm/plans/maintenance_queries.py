@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgivm.functions import text as tx
-from kgivm.operators import editor, evaluation, ontology, retrieval
+from kgivm.operators import editor, evaluation, ontology, retrieval, vector_index
 from kgivm.operators import provenance as pv
 from kgivm.plans.star_queries import AFFECTED, EVENTS, _batch, _edited, _log
 from kgivm.sources.star import BATCH_SQL, SQL, star_graph
 from kgivm.sources.tables import table
+from kgivm.staging import staging_path
 from kgivm.store import Graph
 
 QUERIES, ORACLES = {}, {}
 TARGET = "CASE scope WHEN 'mention' THEN 'entity' ELSE scope END AS target_type"
 
 
-def query(sql: str):
+def query(sql: str | None):
     def register(f):
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
         return f
 
     return register
@@ -205,3 +208,12 @@ def cleaned_text(spark, sf_dir) -> DataFrame:
 def embedding_counts(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("embedding"))
     return retrieval.embedded(Graph({"sentences": rows})).select("embedded", "dimension", "lists")
+
+
+@query(None)
+def indexed_search(spark, sf_dir) -> DataFrame:
+    """Every 20th vector against all rows, by the index; approximate, so without SQL."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    index = vector_index.build(rows, staging_path(spark))
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return vector_index.search(index, queries, key="vec_id", limit=10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
