@@ -1,20 +1,21 @@
 """Benchmark decontamination with a positional inverted index.
 
 ``build_index`` stores the postings of the training texts in shards of whole
-documents: for every benchmark term its ascending positions (delta coded), and
-the documents' places on the shard's position axis, with a gap between
-documents. Terms that no benchmark text holds cannot take part in a match and
-are not stored. ``match`` takes every window of the benchmark (``width``
-consecutive words; shorter items are one window), starts from the postings of
-its rarest term over all shards and intersects with the other terms' lists,
-adjusted by their offsets, in ascending order of frequency. ``proximity``
-reports items whose terms all lie within ``slop`` words of an occurrence of the
-rarest one, in any order.
+documents: for every term (a word's fingerprint) its ascending positions (delta
+coded), and the documents' places on the shard's position axis, with one free
+position between documents. The index knows nothing of the benchmark or of the
+width of its windows, so one index serves every benchmark. ``match`` takes every
+window of a benchmark (``width`` consecutive words; shorter items are one
+window), starts from the postings of its rarest term over all shards and
+intersects with the other terms' lists, adjusted by their offsets, in ascending
+order of frequency. ``proximity`` reports items whose terms all lie within
+``slop`` words of an occurrence of the rarest one, in any order.
 
 The benchmark is the query set: its windows and terms are held by the driver
-and sent to the tasks. Null, empty and wordless texts have no hits (as items:
-no windows). Repeated rows are answered one by one; items with equal ids count
-once per document. Extra columns are ignored.
+and sent to the tasks; a shard decodes the postings of the benchmark's terms
+and meets the windows whose rarest term it holds. Null, empty and wordless
+texts have no hits (as items: no windows). Repeated rows are answered one by
+one; items with equal ids count once per document. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from kgivm.llm.kernels import BYTE, LOWER, U, Prints, chunks, per_row, runs, tex
 WIDTH = 10
 WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x41:0x5B] = WORD[0x61:0x7B] = WORD[0x80:] = True
-SHARD = "docs array<{kind}>, doc_at array<long>, n_words array<long>, terms array<int>, term_ends array<long>, postings binary"
+SHARD = "docs array<{kind}>, doc_at array<long>, n_words array<long>, terms array<long>, term_ends array<int>, postings binary"
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,24 +70,19 @@ class Windows:
         return np.argsort(weight, axis=1, kind="stable")
 
 
-def build_index(docs: DataFrame, windows: Windows, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The shards, written to the shared folder."""
-    vocabulary, gap = windows.vocabulary, windows.width
+def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The shards with the postings of all terms, written to the shared folder."""
 
     def index(batches):
         for batch in batches:
             for lo, hi, data, at in chunks(batch.column(1)):
                 prints, bounds = words(data, at)
                 n = np.diff(bounds)
-                doc_at = bounds[:-1] + gap * np.arange(hi - lo)
-                place = np.searchsorted(vocabulary, prints)
-                known = np.flatnonzero(vocabulary[np.minimum(place, len(vocabulary) - 1)] == prints) if len(vocabulary) else np.zeros(0, np.int64)
-                row = np.repeat(np.arange(hi - lo), n)[known]
-                term, position = place[known], known + gap * row
-                order = np.argsort(term, kind="stable")
-                term, position = term[order], position[order]
-                cut = np.flatnonzero(np.diff(term)) + 1
-                starts = np.concatenate([[0], cut]).astype(np.int64) if len(term) else np.zeros(0, np.int64)
+                doc_at = bounds[:-1] + np.arange(hi - lo)
+                order = np.argsort(prints, kind="stable")
+                terms = prints[order]
+                position = order + np.repeat(np.arange(hi - lo), n)[order]
+                starts = np.flatnonzero(np.diff(terms, prepend=~terms[:1]))
                 delta = np.diff(position, prepend=0)
                 delta[starts] = position[starts]
                 small = delta.astype(np.uint16) if len(delta) == 0 or delta.max() < 1 << 16 else delta.astype(np.uint32)
@@ -94,7 +90,7 @@ def build_index(docs: DataFrame, windows: Windows, *, key: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x], t) for x, t in (
                         (batch.column(0).slice(lo, hi - lo).to_pylist(), pa.list_(batch.schema.field(0).type)), (doc_at, pa.list_(pa.int64())), (n, pa.list_(pa.int64())),
-                        (term[starts].astype(np.int32), pa.list_(pa.int32())), (np.append(starts[1:], len(term)) if len(term) else starts, pa.list_(pa.int64())), (raw, pa.binary()),
+                        (terms[starts].view(np.int64), pa.list_(pa.int64())), (np.append(starts[1:], len(terms)) if len(terms) else starts, pa.list_(pa.int32())), (raw, pa.binary()),
                     )], ["docs", "doc_at", "n_words", "terms", "term_ends", "postings"],
                 )
 
@@ -102,48 +98,82 @@ def build_index(docs: DataFrame, windows: Windows, *, key: str = "doc_id", text:
     return scratch.saved(src.mapInArrow(index, SHARD.format(kind=src.schema["k"].dataType.simpleString())))
 
 
-def frequencies(shards: DataFrame, n_terms: int) -> np.ndarray:
+def known(terms: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ``terms``, places in ``vocabulary``) of the terms in both; both are ascending."""
+    if not len(vocabulary) or not len(terms):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = np.searchsorted(vocabulary, terms)
+    here = np.flatnonzero(vocabulary[np.minimum(place, len(vocabulary) - 1)] == terms)
+    return here, place[here]
+
+
+def lists(column: pa.Array, i: int, kind: type) -> np.ndarray:
+    return column[i].values.to_numpy(zero_copy_only=False).astype(kind, copy=False)
+
+
+def frequencies(shards: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     """Occurrences of each benchmark term in all shards (at most one row per term comes back)."""
-    counts = F.transform(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: F.element_at("term_ends", i + 1) - F.when(i > 0, F.get("term_ends", i - 1)).otherwise(0))
-    rows = shards.where(F.size("terms") > 0).select(F.explode(F.arrays_zip(F.col("terms").alias("t"), counts.alias("n"))).alias("x")).groupBy("x.t").agg(F.sum("x.n").alias("n"))
-    out = np.zeros(n_terms + 1, np.int64)
+
+    def count(batches):
+        total = np.zeros(len(vocabulary), np.int64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                here, place = known(lists(batch.column(0), i, np.int64).view(U), vocabulary)
+                total[place] += np.diff(lists(batch.column(1), i, np.int64), prepend=0)[here]
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["t", "n"])
+
+    rows = shards.select("terms", "term_ends").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    out = np.zeros(len(vocabulary) + 1, np.int64)
     for r in rows.toLocalIterator():
         out[r.t] = r.n
     return out
 
 
 class Shard:
-    """One row of the index, ready for intersections."""
-
-    def __init__(self, docs, doc_at, n_words, terms, term_ends, postings, n_terms: int):
-        self.docs, self.doc_at, self.n_words = docs, np.asarray(doc_at, np.int64), np.asarray(n_words, np.int64)
-        terms, ends = np.asarray(terms, np.int64), np.asarray(term_ends, np.int64)
-        delta = np.frombuffer(postings, np.uint16 if postings[0] == 2 else np.uint32, offset=1).astype(np.int64)
-        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        sums = np.cumsum(delta)
-        sizes = ends - starts
-        self.position = sums - np.repeat(sums[starts] - delta[starts], sizes) if len(ends) else sums
-        self.key = (np.repeat(terms, sizes) << 40) | self.position
-        self.lo, self.hi = np.zeros(n_terms + 1, np.int64), np.zeros(n_terms + 1, np.int64)
-        self.lo[terms], self.hi[terms] = starts, ends
+    """One row of the index with the postings of a vocabulary's terms, ready for intersections."""
+
+    def __init__(self, docs, doc_at, n_words, terms, term_ends, postings: bytes, vocabulary: np.ndarray):
+        self.docs, self.doc_at, self.n_words = docs, doc_at, n_words
+        here, self.terms = known(terms, vocabulary)
+        sizes = np.diff(term_ends, prepend=0)[here]
+        self.hi = np.cumsum(sizes)
+        self.lo = self.hi - sizes
+        delta = np.frombuffer(postings, np.uint16 if postings[0] == 2 else np.uint32, offset=1)
+        sums = np.cumsum(delta[np.repeat(term_ends[here] - sizes - self.lo, sizes) + np.arange(sizes.sum())], dtype=np.int64)
+        before = np.append(0, sums)[self.lo]
+        self.position = sums - np.repeat(before, sizes)
+        self.key = (np.repeat(self.terms, sizes) << 40) | self.position
+
+    def span(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end place in ``position`` of the postings of some terms (none for terms without)."""
+        if not len(self.terms):
+            return np.zeros(len(term), np.int64), np.zeros(len(term), np.int64)
+        at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
+        has = self.terms[at] == term
+        return np.where(has, self.lo[at], 0), np.where(has, self.hi[at], 0)
 
     def expand(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into ``term``, position) of all postings of some terms."""
-        n = self.hi[term] - self.lo[term]
+        lo, hi = self.span(term)
+        n = hi - lo
         which = np.repeat(np.arange(len(term)), n)
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return which, self.position[self.lo[term][which] + inner]
+        return which, self.position[lo[which] + inner]
 
     def has(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
         want = (term << 40) | position
         at = np.minimum(np.searchsorted(self.key, want), max(0, len(self.key) - 1))
         return (self.key[at] == want) & (position >= 0) if len(self.key) else np.zeros(len(want), bool)
 
-    def phrases(self, w: Windows, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, first position) of all exact occurrences."""
-        all_w = np.arange(len(w.size))
-        which, at = self.expand(w.term[all_w, order[:, 0]]) if len(all_w) else (all_w, all_w)
-        at = at - order[which, 0] if len(all_w) else at
+    def phrases(self, w: Windows, order: np.ndarray, by_rarest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, first position) of all exact occurrences; ``by_rarest`` lists the windows by their rarest term."""
+        rarest = w.term[by_rarest, order[by_rarest, 0]]
+        lo, hi = np.searchsorted(rarest, self.terms), np.searchsorted(rarest, self.terms, "right")
+        some = by_rarest[np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange((hi - lo).sum())]
+        which, at = self.expand(w.term[some, order[some, 0]])
+        which = some[which]
+        at = at - order[which, 0]
         for k in range(1, w.width):
             if not len(which):
                 break
@@ -158,23 +188,26 @@ class Shard:
         return np.searchsorted(self.doc_at, position, "right") - 1
 
 
-def shards_of(batches, n_terms: int):
+def shards_of(batches, vocabulary: np.ndarray):
     for batch in batches:
-        for r in batch.to_pylist():
-            yield Shard(r["docs"], r["doc_at"], r["n_words"], r["terms"], r["term_ends"], r["postings"], n_terms), batch.schema.field(0).type.value_type
+        docs, doc_at, n_words, terms, ends, postings = (batch.column(c) for c in ("docs", "doc_at", "n_words", "terms", "term_ends", "postings"))
+        for i in range(batch.num_rows):
+            yield Shard(
+                docs[i].as_py(), lists(doc_at, i, np.int64), lists(n_words, i, np.int64), lists(terms, i, np.int64).view(U), lists(ends, i, np.int64), postings[i].as_py(), vocabulary
+            ), docs.type.value_type
 
 
 def match(shards: DataFrame, windows: Windows) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items of every indexed document."""
-    n_terms = len(windows.vocabulary)
-    order = windows.rarest_first(frequencies(shards, n_terms))
+    order = windows.rarest_first(frequencies(shards, windows.vocabulary))
+    by_rarest = np.argsort(windows.term[np.arange(len(order)), order[:, 0]], kind="stable")
     kind = shards.schema["docs"].dataType.elementType.simpleString()
     empty = hashlib.sha256(b"").hexdigest()
 
     def find(batches):
-        for shard, doc_type in shards_of(batches, n_terms):
+        for shard, doc_type in shards_of(batches, windows.vocabulary):
             n = len(shard.docs)
-            which, at = shard.phrases(windows, order)
+            which, at = shard.phrases(windows, order, by_rarest)
             end = int(shard.doc_at[-1] + shard.n_words[-1]) if n else 0
             step = np.zeros(end + 1, np.int64)
             np.add.at(step, at, 1)
@@ -196,18 +229,18 @@ def match(shards: DataFrame, windows: Windows) -> DataFrame:
 
 def proximity(shards: DataFrame, windows: Windows, slop: int) -> DataFrame:
     """doc_id, item, position (in the document) of occurrences of an item's rarest term that have all its other terms within ``slop`` words."""
-    n_terms = len(windows.vocabulary)
-    frequency = frequencies(shards, n_terms)
+    frequency = frequencies(shards, windows.vocabulary)
     kind = shards.schema["docs"].dataType.elementType.simpleString()
     wanted = [(str(item), sorted(set(terms), key=lambda t: (frequency[t], t))) for item, terms in windows.items]
 
     def near(batches):
-        for shard, doc_type in shards_of(batches, n_terms):
+        for shard, doc_type in shards_of(batches, windows.vocabulary):
             docs, items, places = [], [], []
             for item, terms in wanted:
                 _, at = shard.expand(np.array(terms[:1]))
                 for t in terms[1:]:
-                    own = shard.position[shard.lo[t] : shard.hi[t]]
+                    lo, hi = (int(x[0]) for x in shard.span(np.array([t])))
+                    own = shard.position[lo:hi]
                     doc = shard.doc_of(at)
                     low = np.maximum(at - slop, shard.doc_at[doc])
                     high = np.minimum(at + slop, shard.doc_at[doc] + shard.n_words[doc] - 1)
@@ -227,8 +260,7 @@ def items_of(benchmark: DataFrame, *, item: str = "item_id", text: str = "text")
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    windows = Windows(items_of(benchmark), width)
-    return match(build_index(docs, windows, key=key, text=text), windows)
+    return match(build_index(docs, key=key, text=text), Windows(items_of(benchmark), width))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ import string
 
 import pytest
 
-from kgivm.llm.op10_decontamination import Windows, build_index, decontamination, items_of, proximity
+from kgivm.llm.op10_decontamination import Windows, build_index, decontamination, items_of, match, proximity
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -49,6 +49,20 @@ def test_proximity(spark, docs):
     bench = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
     w = Windows(items_of(bench))
     rows = ["blue x green x red", "red x x x x x green blue", "green", "blue red", None]
-    index = build_index(docs(spark, rows), w)
+    index = build_index(docs(spark, rows))
     assert {r.doc_id for r in proximity(index, w, 4).collect()} == {0}
     assert {r.doc_id for r in proximity(index, w, 9).collect()} == {0, 1}
+
+
+def test_one_index_serves_several_benchmarks(spark, docs):
+    r = random.Random(7)
+    texts = [None, "", *(" ".join(r.choice("abcdef") for _ in range(r.randint(0, 80))) for _ in range(30)), "z " * 70_000 + "a b c y"]
+    index = build_index(docs(spark, texts))
+    for width, items in ((2, [(1, "a b c"), (2, "never seen")]), (5, [(1, "z z z a b c y"), (2, "f e d c b a f e"), (3, "q")]), (4, [])):
+        got = {x.doc_id: (x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in match(index, Windows(items, width)).collect()}
+        assert got == brute(texts, items, width)
+
+
+def test_windows_do_not_cross_documents(spark, docs):
+    got = decontamination(docs(spark, ["a b", "c d", "a b c d"]), spark.createDataFrame([(1, "a b c d")], "item_id long, text string"), width=3).collect()
+    assert {x.doc_id: x.n_hit for x in got} == {0: 0, 1: 0, 2: 4}
