@@ -8,7 +8,8 @@ with a mean leaf probability of ``threshold`` or more.
 
 Labelled findings are (text, start, end, is_secret) rows; ``labelled_findings``
 makes a bounded, seeded set (``TRAINING_ROWS``) of secrets and of their usual
-look-alikes (digests of files, identifiers, placeholders, long words, paths).
+look-alikes (digests of files, identifiers, placeholders, paths, and invented
+long words drawn from the dictionary's letter pairs alone).
 
 Null and empty texts have no findings. Positions are code points. Rows are
 answered one by one, so repeated rows agree. Extra columns are ignored.
@@ -189,8 +190,18 @@ def labelled_findings(rows: int = TRAINING_ROWS, seed: int = 5) -> list[tuple[st
     r = random.Random(seed)
     pick = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
     hexa, b64, alnum = "0123456789abcdef", string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits
-    syllables = "ti on er an the re he in ed nd ha at en es of or nt ea is hi ver sch ung keit heit ment que eau tion cion ado mente".split()
-    word = lambda n: "".join(r.choice(syllables) for _ in range(n))
+    follow: dict[str, list[str]] = {}
+    for w in WORDS:
+        for a, b in zip(w, w[1:]):
+            follow.setdefault(a, []).append(b)
+
+    def word(n: int) -> str:
+        """An invented word of 2n letters that follow each other as in the dictionary."""
+        out = r.choice(WORDS)[0]
+        while len(out) < 2 * n:
+            out += r.choice(follow.get(out[-1]) or list(follow))
+        return out
+
     prose = lambda: " ".join(r.choice([r.choice(WORDS), word(r.randint(1, 4))]) for _ in range(r.randint(0, 6)))
     secret = [
         lambda: pick(hexa, r.choice([32, 40, 48, 64])), lambda: pick(alnum, r.randint(20, 48)), lambda: pick(b64, r.randint(24, 64)) + r.choice(["", "=", "=="]), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16),

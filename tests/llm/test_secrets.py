@@ -1,3 +1,7 @@
+import base64
+import random
+import string
+
 import numpy as np
 
 from kgivm.llm.op4_secret_scan import candidates, labelled_findings, scan, train, vectors
@@ -41,3 +45,35 @@ def test_whole_assigned_values_and_path_segments(spark, docs):
         ends = [tuple(map(int, x.split(":"))) for x in r.spans.split(",") if x]
         assert r.n_secrets == len(ends) and all(b <= c for (_, b), (c, _) in zip(ends, ends[1:]))
     assert key in "".join(texts[0][a:b] for a, b in [tuple(map(int, x.split(":"))) for x in got[0].spans.split(",")])
+
+
+def other_kinds(rows=600, seed=11):
+    """Findings of kinds that the training generator does not make."""
+    r = random.Random(seed)
+    pick = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    alnum, url = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "-_"
+    names = "river stone market winter bridge garden letter cousin silver harbour castle meadow".split()
+    join = lambda sep, n: sep.join(r.choice(names) for _ in range(n))
+    secret = [
+        lambda: ("Authorization: Bearer ", "eyJ" + pick(url, 18) + "." + pick(url, 60) + "." + pick(url, 43)), lambda: ("STRIPE=", "sk_live_" + pick(alnum, 24)), lambda: ("npm token ", "npm_" + pick(alnum, 36)),
+        lambda: ("export AWS_SECRET_ACCESS_KEY=", pick(alnum + "/+", 40)), lambda: ("signing key: ", base64.b64encode(r.randbytes(32)).decode()), lambda: ("slack ", "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24)),
+    ]
+    tame = [
+        lambda: ("see ", join("-", 4)), lambda: ("class ", "".join(w.capitalize() for w in join(" ", 4).split())), lambda: ("open ", "/home/" + join("/", 3) + ".txt"), lambda: ("build ", f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 99)}-snapshot.{r.randint(10**7, 10**8)}"),
+        lambda: ("index 3f ", pick("0123456789abcdef", 40) + ".." + pick("0123456789abcdef", 7)), lambda: ("at ", f"20{r.randint(10, 29)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}T1{r.randint(0, 9)}-30-00.000"), lambda: ("call ", join("_", 5) + "_id"),
+        lambda: ("the ", join("", 4)),
+    ]
+    out = []
+    for i in range(rows):
+        lead, value = r.choice(secret if i % 2 else tame)()
+        text = f"{join(' ', 4)} {lead}"
+        out.append((f"{text}{value} {join(' ', 3)}", len(text), len(text) + len(value), bool(i % 2)))
+    return out
+
+
+def test_kinds_not_trained_on():
+    held = other_kinds()
+    y = np.array([f[3] for f in held])
+    p = train(labelled_findings()).predict(vectors(held)) >= 0.5
+    print(f"recall {p[y].mean():.3f} precision {y[p].mean():.3f}")
+    assert p[y].mean() >= 0.9 and y[p].mean() >= 0.9
