@@ -264,8 +264,10 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a hit (rows without id stay)."""
-    gone = decontamination(docs, benchmark, width=width, key=key, text=text).where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
+    """The rows of ``docs`` without a hit (rows without id stay). The index is deleted once the ids to drop are written."""
+    shards = build_index(docs, key=key, text=text)
+    gone = scratch.saved(match(shards, Windows(items_of(benchmark), width)).where("contaminated").select(F.col("doc_id").alias("_gone")).distinct())
+    scratch.remove(docs.sparkSession, shards)
     return docs.join(gone.hint("merge"), docs[key] == gone["_gone"], "left_anti")
 
 

@@ -5,7 +5,7 @@ import string
 
 import pytest
 
-from kgivm.llm.op10_decontamination import Windows, build_index, decontamination, items_of, match, proximity
+from kgivm.llm.op10_decontamination import Windows, build_index, decontamination, items_of, keep_clean, match, proximity
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -66,3 +66,13 @@ def test_one_index_serves_several_benchmarks(spark, docs):
 def test_windows_do_not_cross_documents(spark, docs):
     got = decontamination(docs(spark, ["a b", "c d", "a b c d"]), spark.createDataFrame([(1, "a b c d")], "item_id long, text string"), width=3).collect()
     assert {x.doc_id: x.n_hit for x in got} == {0: 0, 1: 0, 2: 4}
+
+
+def test_keep_clean(spark):
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    rows = [(1, "x a b c"), (2, "a b"), (2, None), (None, "a b c"), (3, "c b a"), (1, "clean row of a dropped id")]
+    docs = spark.createDataFrame([(*r, "d") for r in rows], "doc_id long, text string, docs string")
+    got = keep_clean(docs, bench, width=3)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(rows[1:5], key=str)
+    assert keep_clean(docs.limit(0), bench).count() == 0
