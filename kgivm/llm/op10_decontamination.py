@@ -95,7 +95,8 @@ def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
                 )
 
     src = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    return scratch.saved(src.mapInArrow(index, SHARD.format(kind=src.schema["k"].dataType.simpleString())))
+    shards = src.mapInArrow(index, SHARD.format(kind=src.schema["k"].dataType.simpleString()))
+    return scratch.saved(shards, **{"parquet.block.row.count.limit": "32"})  # a reader's batch ends with its row group
 
 
 def known(terms: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
