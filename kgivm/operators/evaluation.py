@@ -45,7 +45,12 @@ def confusion(rows: DataFrame, predicted: str, actual: str, *keys: str) -> DataF
     """tp, fp, fn, tn, precision, recall, f1, accuracy (0.0 for a zero denominator). A missing prediction is False."""
     p, a = F.coalesce(predicted, F.lit(False)), F.col(actual)
     out = rows.where(a.isNotNull()).groupBy(*keys).agg(F.count_if(p & a).alias("tp"), F.count_if(p & ~a).alias("fp"), F.count_if(~p & a).alias("fn"), F.count_if(~p & ~a).alias("tn"))
-    out = out.withColumn("precision", tx.share(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", tx.share(F.col("tp"), F.col("tp") + F.col("fn")))
+    return measures(out)
+
+
+def measures(counts: DataFrame) -> DataFrame:
+    """``counts`` (tp, fp, fn, tn) with precision, recall, f1, accuracy."""
+    out = counts.withColumn("precision", tx.share(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", tx.share(F.col("tp"), F.col("tp") + F.col("fn")))
     out = out.withColumn("f1", tx.share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     return out.withColumn("accuracy", tx.share(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")))
 
