@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from kgivm.functions import vectors as vx
+from kgivm.operators import pairs
 
 #: Rows that the centres are fitted on, at most.
 SAMPLE_ROWS = 16_384
@@ -39,12 +41,12 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 
 
-def _matrix(column, dimension: int) -> np.ndarray:
+def _matrix(column: pa.ListArray, dimension: int) -> np.ndarray:
     """One row for each vector; those of another dimension are zeros, as their cosine with a query is."""
+    data, sizes, _ = pairs.matrix(column)
     out = np.zeros((len(column), dimension))
-    for i, v in enumerate(column):
-        if v.is_valid and len(v.values) == dimension:
-            out[i] = v.values.to_numpy(zero_copy_only=False)
+    same = sizes == dimension
+    out[same] = data[same, :dimension]
     return out
 
 
@@ -79,6 +81,30 @@ def _nearest(rows: DataFrame, column: str, centres: np.ndarray, n: int) -> DataF
     return rows.mapInArrow(assign, f"{fields}, list_ids array<int>")
 
 
+def _probed(queries: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
+    """``queries`` with ``probes``: a bit for each list, set for the ``n`` nearest."""
+    sent = queries.sparkSession.sparkContext.broadcast(centres)
+
+    def assign(batches):
+        c = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                best = np.argsort(-(_matrix(part.column("query_vector"), c.shape[1]) @ c.T), axis=1, kind="stable")[:, :n]
+                bits = np.zeros((part.num_rows, len(c)), dtype=bool)
+                np.put_along_axis(bits, best, True, axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())], [*part.schema.names, "probes"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema.fields)
+    return queries.mapInArrow(assign, f"{fields}, probes binary")
+
+
+def _read(q: pairs.Block, r: pairs.Block) -> np.ndarray:
+    """Pairs of a query and a row of a list that it reads."""
+    bits = np.frombuffer(b"".join(q.more["probes"].to_pylist()), dtype=np.uint8).reshape(len(q.ids), -1)
+    return np.unpackbits(bits, axis=1).view(bool)[:, r.more["list_id"].to_numpy(zero_copy_only=False)]
+
+
 def build(rows: DataFrame, path: str, *, column: str = "embedding", lists: int | None = None) -> VectorIndex:
     """Index all ``rows`` that have a vector, in the folder ``path``.
 
@@ -95,6 +121,7 @@ def build(rows: DataFrame, path: str, *, column: str = "embedding", lists: int |
         return VectorIndex(empty, np.zeros((0, 0)), "missing_embeddings")
     share = min(1.0, 1.2 * SAMPLE_ROWS / n)
     sample = rows.select(column).sample(share, seed=7).limit(SAMPLE_ROWS).toArrow()[column] if share < 1 else rows.select(column).limit(SAMPLE_ROWS).toArrow()[column]
+    sample = sample.combine_chunks()
     points = _matrix(sample, dimension)
     want = lists or max(1, min(n, round(15 * n**0.5), MAX_LISTS, len(points) // 8))
     centres = _centres(points, min(want, len(points)))
@@ -112,19 +139,24 @@ def load(spark: SparkSession, path: str) -> VectorIndex:
 def search(index: VectorIndex, queries: DataFrame, *, key: str, column: str = "embedding", limit: int = 5, threshold: float | None = None, probes: int | None = None) -> DataFrame:
     """query_id, ``key``, score, rank of the best rows among the lists nearest to each query (query_id, query_vector).
 
-    Queries meet rows by an equi-join on the list, which Spark broadcasts only
-    if the queries are small by its own threshold. Ties go to the smaller key.
+    Blocks of queries meet blocks of rows (``operators.pairs``); a query takes
+    only rows of its lists, of which it carries one bit for each list. Keys that
+    are not whole numbers meet the queries by an equi-join on the list. Ties go
+    to the smaller key.
     """
     lists = len(index.centres)
     if not lists:
         return queries.limit(0).select("query_id", F.lit(None).cast(index.rows.schema[key].dataType).alias(key), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     n = min(lists, probes or max(1, round(PROBE_SHARE * lists)))
     asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
-    asked = _nearest(asked, "query_vector", index.centres, n).select("query_id", "query_vector", F.explode("list_ids").alias("list_id"))
-    pairs = index.rows.select(key, column, "list_id").join(asked, "list_id")
-    scored = pairs.select("query_id", key, vx.cosine(F.col(column), F.col("query_vector")).alias("score"))
-    if threshold is not None:
-        scored = scored.where(F.col("score") >= threshold)
+    if isinstance(index.rows.schema[key].dataType, IntegralType):
+        found = pairs.best(index.rows.select(key, column, "list_id"), _probed(asked, index.centres, n), key=key, column=column, limit=limit, threshold=threshold, allowed=_read, more=("list_id",), asked=("probes",))
+        scored = found.select("query_id", F.col(key).cast(index.rows.schema[key].dataType).alias(key), "score")
+    else:
+        asked = _nearest(asked, "query_vector", index.centres, n).select("query_id", "query_vector", F.explode("list_ids").alias("list_id"))
+        scored = index.rows.select(key, column, "list_id").join(asked, "list_id").select("query_id", key, vx.cosine(F.col(column), F.col("query_vector")).alias("score"))
+        if threshold is not None:
+            scored = scored.where(F.col("score") >= threshold)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(key))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
