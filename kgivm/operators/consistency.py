@@ -28,7 +28,8 @@ def maintained(g: Graph) -> DataFrame:
 
 def check(g: Graph, doc_id: str | None = None, require_fresh: bool = False) -> tuple[DataFrame, DataFrame]:
     """Mismatches (kind, target_id, stored, rebuilt), and a one-row summary."""
-    rows = maintained(g).join(recomputed(g), ["target_type", "target_id"])
+    counts = [active_counts(g[t]).select(F.lit(kind).alias("target_type"), F.col("dst").alias("target_id"), "active") for t, kind in (("mentions", "entity"), ("sentence_supports_relation", "relation"))]
+    rows = maintained(g).join(counts[0].unionByName(counts[1]), ["target_type", "target_id"], "left").withColumn("rebuilt", F.coalesce("active", F.lit(0)))
     if doc_id is not None:
         rows = rows.where(tx.in_doc(F.col("target_id"), doc_id))
     removed = F.col("status").eqNullSafe("removed")
@@ -42,8 +43,8 @@ def check(g: Graph, doc_id: str | None = None, require_fresh: bool = False) -> t
     )
     mismatches = rows.select("target_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("x.kind", "target_id", "x.stored", "x.rebuilt")
     free = relation & ~removed & (F.col("rebuilt") == 0)
-    checked = rows.agg(F.count_if(relation).alias("checked_relations"), F.count_if(~relation).alias("checked_entities"), F.count_if(free).alias("evidence_free_relations"))
-    summary = checked.crossJoin(mismatches.agg(F.count("*").alias("mismatches"))).withColumn("consistent", F.col("mismatches") == 0)
+    checked = rows.agg(F.count_if(relation).alias("checked_relations"), F.count_if(~relation).alias("checked_entities"), F.count_if(free).alias("evidence_free_relations"), F.coalesce(F.sum(F.size(F.filter(found, lambda x: x.isNotNull()))), F.lit(0)).alias("mismatches"))
+    summary = checked.withColumn("consistent", F.col("mismatches") == 0)
     return mismatches, summary
 
 

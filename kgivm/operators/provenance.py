@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgivm.functions import text as tx
+from kgivm.operators.sift import key as key_of
+from kgivm.operators.sift import sift
 from kgivm.store import Graph
 
 
@@ -103,11 +105,21 @@ def relation_triples(g: Graph, edges: DataFrame) -> DataFrame:
 
 def current_triples(g: Graph) -> DataFrame:
     """sent_id, triples: what each sentence supports now, in edge order."""
-    rows = relation_triples(g, edges_of(g, "relation"))
+    rows = relation_triples(g, g["sentence_supports_relation"].where(not_removed()))
     item = F.struct("edge_id", F.struct(F.col("head_name").alias("head"), F.col("label").alias("rel_type"), F.col("tail_name").alias("tail")).alias("t"))
     return rows.groupBy(F.col("src").alias("sent_id")).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["t"]).alias("triples"))
 
 
+def around(g: Graph, sents: DataFrame) -> Graph:
+    """``g`` with only the edges of some sentences (one column of ids), and what these edges lead to; a few rows more come along."""
+    near = sift(sents.select(key_of(sents.columns[0])))
+    few = {t: near.through(g[t], key_of("src")) for t in ("mentions", "sentence_supports_relation")}
+    targets = [few[t].select(key_of("dst")) for t in few]
+    few["relations"] = sift(targets[1]).through(g["relations"], key_of("relation_id"))
+    few["entities"] = sift(targets[0], *(few["relations"].select(key_of(c)) for c in ("head", "tail"))).through(g["entities"], key_of("entity_id"))
+    return g.updated(**few)
+
+
 def with_evidence(g: Graph, sents: DataFrame, relations_only: bool = False) -> DataFrame:
     """Sentences that have an active mention or relation edge."""
     edges = edges_of(g, "relation").select("src")

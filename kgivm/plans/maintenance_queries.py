@@ -11,7 +11,7 @@ from kgivm.operators import provenance as pv
 from kgivm.plans.star_queries import AFFECTED, EVENTS, _batch, _edited, _log
 from kgivm.sources.star import BATCH_SQL, SQL, star_graph
 from kgivm.sources.tables import table
-from kgivm.staging import staging_path
+from kgivm.staging import pinned, staging_path
 from kgivm.store import Graph
 
 QUERIES, ORACLES = {}, {}
@@ -56,14 +56,14 @@ def relations_by_ids(spark, sf_dir) -> DataFrame:
 
 @query(SQL + "SELECT sent_id, doc_id FROM sentences WHERE sent_id IN (SELECT src FROM mentions WHERE status <> 'removed' UNION ALL SELECT src FROM supports WHERE status <> 'removed')")
 def sentences_with_evidence(spark, sf_dir) -> DataFrame:
-    g = star_graph(spark, sf_dir)
+    g = star_graph(spark, sf_dir, pinned)
     return pv.with_evidence(g, g["sentences"].select("sent_id", "doc_id"))
 
 
 @query(SQL + "SELECT edge_id, 'supplier ' || s || ' ' || rel_type || ' part ' || p || '.' AS query FROM supports JOIN sentences ON src = sent_id WHERE status <> 'removed'")
 def fact_queries(spark, sf_dir) -> DataFrame:
-    g = star_graph(spark, sf_dir)
-    rows = pv.relation_triples(g, pv.edges_of(g, "relation"))
+    g = star_graph(spark, sf_dir, pinned)
+    rows = pv.relation_triples(g, g["sentence_supports_relation"].where(pv.not_removed()))
     return rows.select("edge_id", tx.fact_query(F.col("head_name"), F.col("label"), F.col("tail_name")).alias("query"))
 
 
@@ -73,10 +73,10 @@ def fact_queries(spark, sf_dir) -> DataFrame:
 SELECT s.doc_id AS instruction_id, s.sent_id FROM sentences s JOIN ask a ON a.doc_id = s.doc_id JOIN live ON src = s.sent_id WHERE contains(s.text, 'part ' || a.p)"""
 )
 def related_by_evidence(spark, sf_dir) -> DataFrame:
-    g = star_graph(spark, sf_dir)
+    g = star_graph(spark, sf_dir, pinned)
     part = F.split(F.substring_index("sent_id", ":", -1), "-")[2].cast("long")
     ask = g["sentences"].groupBy("doc_id").agg(F.min(part).alias("p")).select(F.col("doc_id").alias("instruction_id"), "doc_id", F.concat(F.lit("remove part "), "p").alias("instruction"))
-    return editor.select_by_evidence(g, ask)
+    return editor.select_by_evidence(g, pinned(ask))
 
 
 @query(SQL + "SELECT sent_id, CASE l % 3 WHEN 0 THEN 'supplier ' || s || ' ships a new item.' WHEN 1 THEN 'supplier ' || s || ' ships .' ELSE text END AS new_text FROM sentences")

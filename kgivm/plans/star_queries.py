@@ -101,7 +101,7 @@ def non_evidence_sentences(spark, sf_dir) -> DataFrame:
 
 @query(SQL + "SELECT src AS sent_id, string_agg('supplier ' || s || '|' || rel_type || '|part ' || p, ';' ORDER BY edge_id) AS triples FROM supports JOIN sentences ON src = sent_id WHERE status <> 'removed' GROUP BY src")
 def current_triples(spark, sf_dir) -> DataFrame:
-    rows = pv.current_triples(star_graph(spark, sf_dir))
+    rows = pv.current_triples(star_graph(spark, sf_dir, pinned))
     return rows.select("sent_id", F.array_join(F.transform("triples", lambda t: F.concat_ws("|", t["head"], t["rel_type"], t["tail"])), ";").alias("triples"))
 
 
@@ -148,7 +148,7 @@ DRIFT = SQL + """, drift AS (SELECT *, CASE WHEN hash_key = 0 THEN evidence_coun
 
 
 def _drifted(spark, sf_dir):
-    g = star_graph(spark, sf_dir)
+    g = star_graph(spark, sf_dir, pinned)
     bad = F.length("relation_id") % 2 == 0
     return g.updated(relations=g["relations"].withColumn("evidence_count", F.col("evidence_count") + F.when(bad, 1).otherwise(0)))
 

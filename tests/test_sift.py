@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+from kgivm.operators import consistency, editor
+from kgivm.operators import provenance as pv
 from kgivm.operators.pipeline import EDGES, apply_batch, touched
 from kgivm.operators.sift import key, sift
 from kgivm.sources.star import star_graph
@@ -42,3 +44,22 @@ def test_the_star_graph_is_moved_once(spark, tmp_path):
     assert sorted((r.relation_id, r.evidence_count, r.freshness_status, r.status) for r in g["relations"].collect()) == [("doc2:r3_F", 0, "stale", "removed"), ("doc2:r3_O", 1, "fresh", "active"), ("doc2:r4_F", 0, "stale", "removed")]
     assert sorted((r.entity_id, r.evidence_count, r.freshness_status) for r in g["entities"].collect()) == [("doc2:e3", 1, "stale"), ("doc2:e4", 0, "stale"), ("doc2:e_s", 0, "fresh")]
     assert sorted((r.edge_id, r.status) for r in g["mentions"].collect()) == [("doc2:1-1-3#m", "active"), ("doc2:1-2-3#m", "removed"), ("doc2:10-1-4#m", "removed")]
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_each_table_is_read_once(store):
+    g = store.load()
+    assert scans(consistency.check(g)[1]) == scans(consistency.check(g)[0]) == 4
+    assert scans(pv.current_triples(g)) == 4  # the edges, their relations, and the names of both ends
+
+
+def test_evidence_is_looked_up_for_few_sentences(spark, store):
+    g = store.load()
+    asked = spark.createDataFrame([(1, "doc0", "remove Norrhamn"), (2, "doc0", "what of Lindqvist Yard?"), (3, "doc9", "remove Aurelia")], "instruction_id long, doc_id string, instruction string")
+    got = editor.select_by_evidence(g, asked)
+    assert sorted(map(tuple, got.collect())) == [(1, "doc0:0"), (1, "doc0:1"), (2, "doc0:0")]
+    few = pv.around(g, spark.createDataFrame([("doc0:1",)], "s string"))
+    assert few["mentions"].count() == 2 and few["sentence_supports_relation"].count() == 2 and few["relations"].count() == 2 and few["entities"].count() == 3
